@@ -15,6 +15,8 @@ next one shares its quantum among the rest.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
@@ -31,35 +33,95 @@ from ebbline.llm.common import materialize, slices, word_blocks
 LENGTH = 2048
 END_ID = 1
 MAX_QUEUES = 256
+#: The file's pattern for lower-case ASCII without apostrophes.
+_ASCII_WORD = re.compile("[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 # -- tokens ---------------------------------------------------------------------
-class _Chunks(dict):
-    """chunk -> packed ids by the tokenizers library, encoded in batches; bounded."""
+class _Chunks:
+    """chunk -> packed ids by the tokenizers library; two generations of bounded size.
 
-    def __init__(self, path: str, limit: int = 400_000):
+    A new chunk of plain letters is normalised and cut into words as the file says, and
+    its new words go to the library all at once; other chunks go there as they are.
+    """
+
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        import regex
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        def load() -> Tokenizer:
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            tok.no_padding()
+            return tok
+
+        self.tok, self.words_tok = load(), load()
+        # for words that are normalised and cut already
+        self.words_tok.normalizer = normalizers.Sequence([])
+        self.words_tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        spec = json.loads(self.tok.to_str())
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.cut = regex.compile(split["pattern"]["Regex"]).findall
+        vocab = spec["model"]["vocab"]
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.limit = limit
-
-    def packed(self, words: list[str]) -> list[bytes]:
-        if len(self) > self.limit:
-            self.clear()
-        new = [w for w in set(words) if w not in self]
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        out = list(map(self.__getitem__, words))
-        for w in new:
-            if len(w) > 64:
-                del self[w]
-        return out
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def packed(self, chunks: list[str]) -> list[bytes]:
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        got = list(map(self.new.get, chunks))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            found = self._encode({chunks[i] for i in missing})
+            for i in missing:
+                got[i] = found[chunks[i]]
+            self.new.update((c, x) for c, x in found.items() if len(c) <= 64)
+        return got
+
+    def _encode(self, chunks: set[str]) -> dict[str, bytes]:
+        found, cut_up, odd = {}, {}, []
+        known, old, cut = self.words, self.old, self.cut
+        if len(known) > 2 * self.limit:
+            known.clear()
+        for c in chunks:
+            if c in old:
+                found[c] = old[c]
+            elif "<|" in c or len(c) > 64:
+                odd.append(c)
+            elif c.isascii():
+                w = c.lower()
+                if w in known:  # a word by itself
+                    found[c] = known[w]
+                elif w.isalpha():
+                    cut_up[c] = (w,)
+                else:
+                    cut_up[c] = cut(w) if "'" in w else _ASCII_WORD(w)
+            elif max(c) < "\u0250":
+                cut_up[c] = cut("".join(map(str.lower, unicodedata.normalize("NFC", c))))
+            else:
+                odd.append(c)
+        new = list({w for ws in cut_up.values() for w in ws if w not in known})
+        if new:
+            ids = np.array(self.words_tok.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(new):
+                raise RuntimeError("the tokenizer's words aren't those cut here")
+            raw, at = ids.tobytes(), 0
+            for w, stop in zip(new, (4 * stops).tolist(), strict=True):
+                known[w] = raw[at:stop]
+                at = stop
+        for c, ws in cut_up.items():
+            found[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+        for c, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
+            found[c] = np.array(e.ids, "<u4").tobytes()
+        return found
 
 
 @lru_cache(2)
@@ -75,7 +137,7 @@ def token_bytes(texts, path: str) -> list[bytes]:
     """
     cache = _chunks(path)
     out: list[list[bytes]] = [[] for _ in texts]
-    odd = {i for i, t in enumerate(texts) if t and any("\x1c" <= c <= "\x1f" for c in set(t))} if any(t and _odd(t) for t in texts) else set()
+    odd = {i for i, t in enumerate(texts) if t and _odd(t)}
     for i in odd:
         out[i].append(np.array(cache.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes())
     for owner, lengths, words in word_blocks([None if i in odd else t for i, t in enumerate(texts)]):
@@ -87,6 +149,7 @@ def token_bytes(texts, path: str) -> list[bytes]:
 
 
 def _odd(text: str) -> bool:
+    """Whether str.split() would cut where the file doesn't."""
     return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
 
 
@@ -134,15 +197,20 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 class Schedule:
     """Where each queue's tokens go. Only queue totals and weights are needed.
 
-    Phases: (first window, windows, tokens given before, running weights). A phase of one
-    window may be an explicit share instead (counts), when some queue runs out within it.
+    A phase has a first window, a number of windows and what each queue gave before. In
+    it, queues with less than about one token a window (small ones) have given
+    floor(k * length * w / W) after k windows, and the others share the rest by the floors
+    of running weights; both never fall as k grows, and no deficit reaches two tokens. A
+    phase of one window may have explicit counts instead, when some queue runs out in it.
     """
 
     def __init__(self, totals: list[int], weights: list[int] | None = None, length: int = LENGTH):
+        if 4 * len(totals) > max(length, 4 * 8):
+            raise ValueError("a window needs four tokens a queue at least")
         self.totals, self.length = totals, length
         weights = list(totals) if weights is None else weights
         given, window = [0] * len(totals), 0
-        self.phases: list[dict] = []
+        self.phases: list[_Phase] = []
         while True:
             left = [t - g for t, g in zip(totals, given, strict=True)]
             if not any(left):
@@ -150,23 +218,16 @@ class Schedule:
             w = [x if r > 0 else 0 for x, r in zip(weights, left, strict=True)]
             if not any(w):  # only queues without weight are left: they share by what they hold
                 w = left
-            whole = sum(w)
-            windows = min(r * whole // (length * x) for r, x in zip(left, w, strict=True) if x)
-            if windows:
-                run = [0, *accumulate(w)]
-                self.phases.append({"first": window, "windows": windows, "given": list(given), "run": run})
-                bounds = [windows * length * x // whole for x in run]
-                given = [g + bounds[j + 1] - bounds[j] for j, g in enumerate(given)]
-            else:
-                share = self._one_window(left, w)
-                self.phases.append({"first": window, "windows": 1, "given": list(given), "share": [0, *accumulate(share)]})
-                given = [g + s for g, s in zip(given, share, strict=True)]
-                windows = 1
-            window += windows
+            phase = _Phase(window, given, w, length)
+            phase.windows = phase.most_windows(left)
+            if not phase.windows:
+                phase = _Phase(window, given, w, length, self._one_window(left, w))
+            self.phases.append(phase)
+            given = [g + phase.count(j, phase.windows) for j, g in enumerate(given)]
+            window += phase.windows
         self.windows = window
-        self.firsts = [p["first"] for p in self.phases]
         #: per queue: the number given at the start of each phase
-        self.marks = [[p["given"][j] for p in self.phases] for j in range(len(totals))]
+        self.marks = [[p.given[j] for p in self.phases] for j in range(len(totals))]
 
     def _one_window(self, left: list[int], weights: list[int]) -> list[int]:
         """Rounds of quanta until the window is full or all queues are empty."""
@@ -181,40 +242,78 @@ class Schedule:
                 room -= take
         return share
 
-    def bounds(self, phase: dict, queue: int, k: int) -> tuple[int, int]:
-        """Tokens of the queues before ``queue``, and up to it, after k windows of the phase."""
-        if "share" in phase:
-            return (phase["share"][queue], phase["share"][queue + 1]) if k else (0, 0)
-        run, n = phase["run"], k * self.length
-        return n * run[queue] // run[-1], n * run[queue + 1] // run[-1]
-
     def pieces(self, queue: int, start: int, n: int):
         """(start in the document, length, window, offset) of n tokens from ``start`` of a queue."""
         done = 0
         while done < n:
             t = start + done
             phase = self.phases[bisect_right(self.marks[queue], t) - 1]
-            t -= phase["given"][queue]
-            if "share" in phase:
-                k = 0
-            else:
-                run = phase["run"]
-                weight = run[queue + 1] - run[queue]
-                k = max(0, min(phase["windows"] - 1, t * run[-1] // (weight * self.length)))
-                while k and self._count(phase, queue, k) > t:
-                    k -= 1
-                while self._count(phase, queue, k + 1) <= t:
-                    k += 1
-            lo0, hi0 = self.bounds(phase, queue, k)
-            lo1, hi1 = self.bounds(phase, queue, k + 1)
-            inside = t - (hi0 - lo0)
-            take = min(n - done, (hi1 - lo1) - t)
-            yield done, take, phase["first"] + k, lo1 - lo0 + inside
+            t -= phase.given[queue]
+            k = phase.window_of(queue, t)
+            before, after = phase.count(queue, k), phase.count(queue, k + 1)
+            take = min(n - done, after - t)
+            yield done, take, phase.first + k, phase.offset(queue, k) + t - before
             done += take
 
-    def _count(self, phase: dict, queue: int, k: int) -> int:
-        lo, hi = self.bounds(phase, queue, k)
-        return hi - lo
+
+class _Phase:
+    def __init__(self, first: int, given: list[int], weights: list[int], length: int, share: list[int] | None = None):
+        self.first, self.given, self.length, self.share = first, list(given), length, share
+        self.windows = 1
+        self.weights, self.whole = weights, sum(weights)
+        room = length - len(weights)
+        self.small = [j for j, w in enumerate(weights) if 0 < w and w * room < self.whole]
+        is_small = set(self.small)
+        self.run = [0, *accumulate(0 if j in is_small else w for j, w in enumerate(weights))]
+        self.is_small, self.sums = is_small, {}
+
+    def small_total(self, k: int) -> int:
+        found = self.sums.get(k)
+        if found is None:
+            if len(self.sums) > 10_000:
+                self.sums.clear()
+            found = self.sums[k] = sum(k * self.length * self.weights[j] // self.whole for j in self.small)
+        return found
+
+    def count(self, queue: int, k: int) -> int:
+        """Tokens that the queue has given after k windows of the phase."""
+        if self.share is not None:
+            return self.share[queue] if k else 0
+        if queue in self.is_small:
+            return k * self.length * self.weights[queue] // self.whole
+        rest = k * self.length - (self.small_total(k) if self.small else 0)
+        return rest * self.run[queue + 1] // self.run[-1] - rest * self.run[queue] // self.run[-1]
+
+    def offset(self, queue: int, k: int) -> int:
+        """Where the queue's tokens begin in window k: small queues come last."""
+        if self.share is not None:
+            return sum(self.share[:queue])
+        now, then = (n * self.length - (self.small_total(n) if self.small else 0) for n in (k, k + 1))
+        if queue not in self.is_small:
+            return then * self.run[queue] // self.run[-1] - now * self.run[queue] // self.run[-1]
+        return then - now + sum(self.count(j, k + 1) - self.count(j, k) for j in self.small if j < queue)
+
+    def window_of(self, queue: int, t: int) -> int:
+        """The window that holds the queue's token t of the phase."""
+        if self.share is not None:
+            return 0
+        k = max(0, min(self.windows - 1, t * self.whole // (self.weights[queue] * self.length)))
+        while k and self.count(queue, k) > t:
+            k -= 1
+        while self.count(queue, k + 1) <= t:
+            k += 1
+        return k
+
+    def most_windows(self, left: list[int]) -> int:
+        """As many windows as all queues can fill."""
+        low, high = 0, sum(left) // self.length
+        while low < high:
+            mid = (low + high + 1) // 2
+            if all(self.count(j, mid) <= r for j, r in enumerate(left)):
+                low = mid
+            else:
+                high = mid - 1
+        return low
 
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -235,13 +334,16 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, int] | None =
     """
     spark = docs.sparkSession
     tokens = materialize(tokenize(docs, tokenizer_path, id_col, text_col, source_col, end_id), "pack-tokens")
-    n_sources = tokens.select("queue").distinct().count()
-    if n_sources > MAX_QUEUES:
-        name = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)))
-        named = F.when(F.col("queue").isin(list(weights)), F.col("queue")).otherwise(name) if weights and len(weights) <= MAX_QUEUES else name
+    most = max(1, min(MAX_QUEUES, length // 8))
+    if weights and len(weights) > most:
+        raise ValueError(f"weights for more than {most} sources")
+    own = F.coalesce(F.concat(F.lit("="), F.col("queue")), F.lit("-"))
+    if tokens.select("queue").distinct().count() > most:
+        named = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(most)))
+        named = F.when(F.col("queue").isin(list(weights)), own).otherwise(named) if weights else named
     else:
-        named = F.coalesce(F.concat(F.lit("="), F.col("queue")), F.lit("-"))
-        weights = {f"={k}": v for k, v in weights.items()} if weights else weights
+        named = own
+    weights = {f"={k}": v for k, v in weights.items()} if weights else None
     # a block is what one task holds of one source
     blocks = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")).withColumn("q", named)
     blocks = materialize(blocks, "pack-blocks")
