@@ -32,8 +32,20 @@ REQUIRED_KEYS = ("event_id", "event_type", "timestamp")
 TIMESTAMP_PATTERN = "yyyy-MM-dd'T'HH:mm:ssX"
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
+    "timestamp": T.TimestampType(),
+    "date": T.DateType(),
+}
+
+
 def _schema(fields) -> T.StructType:
-    return T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in fields])
 
 
 RAW_EVENT = _schema(_RAW)  # nullable throughout, so that bad rows reach the filters
