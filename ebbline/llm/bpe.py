@@ -50,6 +50,7 @@ class PrefixBPE:
     def __init__(self, path: str):
         import ahocorasick
         import regex
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -85,6 +86,10 @@ class PrefixBPE:
         self.fits: dict[tuple[int, int], bool] = {}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"])
+        # beyond Latin the library's own character tables cut the words
+        library = Tokenizer.from_file(path)
+        self.normalise = library.normalizer.normalize_str
+        self.cut = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"]).pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.text_of |= {i: t for t, i in self.special.items()}
         self.mark = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -155,6 +160,8 @@ class PrefixBPE:
             chunk = chunk.lower()
             if "'" not in chunk:
                 return [chunk] if chunk.isalpha() else _ASCII_WORD.findall(chunk)
+        elif max(chunk) >= "\u0250":
+            return [w for w, _ in self.cut(self.normalise(chunk))]
         else:
             chunk = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
         return self.word.findall(chunk)
