@@ -27,6 +27,7 @@ from ebbline.functions import (
 from ebbline.model import EVENT_TYPES, TRACKED_USER_COLUMNS
 from ebbline.plans.staging import dim_users_model, stage_events_model, stage_users_model
 from ebbline.quality import Check, DataQualityRunner, Expectation, generic, run_suite
+from ebbline.streaming import session_metrics, windowed_metrics
 from ebbline.tables import checksum, merge_counts, merge_frame, scd2_frame
 from ebbline.tables.maintenance import retained
 
@@ -60,7 +61,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def events_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
+    return as_events(_read(spark, sf_dir, "events"))
+
+
+def as_events(e: DataFrame) -> DataFrame:
+    """The driver's events as the event model; projections only, so streams will do."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     bucket = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.pmod(k, F.lit(n))).cast("int"))
     purchase = F.col("event_type") == "purchase"
@@ -260,6 +265,35 @@ def _(spark, sf_dir):
     return ops.batch_session_windows(events_model(spark, sf_dir), "event_timestamp", "30 minutes", ["user_id"], _winaggs()).drop("window_start")
 
 
+def _stream(spark, sf_dir) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as a stream takes a single file only through one
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    return as_events(raw).withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))  # watermarks need a zone
+
+
+def _drained(df: DataFrame, mode: str, name: str) -> DataFrame:
+    """All that a stream has to say now; its result is small (windows, not events)."""
+    import uuid
+
+    table = f"{name}_{uuid.uuid4().hex}"
+    query_ = df.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return df.sparkSession.table(table)
+
+
+@query("stream_tumbling_5m", f"WITH {EV} SELECT event_type, time_bucket(INTERVAL 5 MINUTE, event_timestamp, TIMESTAMP '1970-01-01') AS window_start, count(event_id) AS event_count, CAST(sum(revenue) AS DECIMAL(28,4)) AS total_revenue, count(*) FILTER (is_conversion) AS conversion_count FROM ev GROUP BY 1, 2")
+def _(spark, sf_dir):
+    out = _drained(windowed_metrics(_stream(spark, sf_dir), slide=None), "complete", "tumbling")
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_count", "total_revenue", "conversion_count")
+
+
+@query("stream_closed_sessions")
+def _(spark, sf_dir):
+    """Append mode emits the sessions that the watermark has passed."""
+    return _drained(session_metrics(_stream(spark, sf_dir)), "append", "sessions")
+
+
 # -- enrichment and scalar functions ------------------------------------------------------------
 @query(
     "enrich_users",

@@ -79,3 +79,9 @@ def wait_for_path(exists: Callable[[str], bool], path: str, timeout_s: float = 3
             return False
         sleep(every_s)
     return True
+
+
+def write_clustered(df: DataFrame, table: str, keys: Sequence[str], buckets: int = 64, sort: Sequence[str] = ()) -> None:
+    """A managed table bucketed by its join keys, so that later joins on them need no exchange."""
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys)
+    (writer.sortBy(*sort) if sort else writer).saveAsTable(table)
