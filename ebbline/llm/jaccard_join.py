@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm.common import materialize, slices
@@ -37,6 +37,8 @@ from ebbline.llm.components import connected_components
 BITMAP_WORDS = 8
 #: Ids of up to so many rows are broadcast (8 bytes each, counted first); beyond, joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rounds against representatives before what is left is compared pair by pair.
+REPRESENTATIVE_ROUNDS = 4
 #: Largest size for which subsets are considered.
 LIGHT_MOST = 40
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -319,55 +321,64 @@ class JaccardJoin:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         return pairs.join(self._known("a"), "a").join(self._known("b"), "b").where(self._near()).select("a", "b")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the stored ``pairs`` that are linked."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = self._some_docs(ids, "left_semi").mapInArrow(_sets(self.words), "id long, s binary")
-        sets = materialize(sets, "join-sets")
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that are linked."""
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a long, b long").distinct(), "join-links")
 
-    def _labelled(self, members: DataFrame, edges: DataFrame) -> DataFrame:
-        """Members (term, doc) of lists that still hold several components, with ``part``."""
-        parts = materialize(connected_components(edges), "join-parts")
-        out = members.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-        out = materialize(out, "join-members")
-        mixed = out.groupBy("term").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("term")
-        return materialize(out.join(mixed, "term", "left_semi"), "join-mixed")
+    def _mixed(self, members: DataFrame, edges: DataFrame) -> DataFrame:
+        """Members (term, doc, part) of lists that still hold several components."""
+        parts = connected_components(edges, native=False).withColumnRenamed("node", "doc")
+        out = members.join(parts, "doc", "left").select("term", "doc", F.coalesce("component", "doc").alias("part"))
+        w = Window.partitionBy("term")
+        out = out.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).where("lo <> hi")
+        return materialize(out.select("term", "doc", "part"), "join-mixed")
 
     def solve(self) -> DataFrame:
         """Edges between classes that hold their links together: (a, b)."""
         lists = self.lists()
+        leads = lists.select("term", F.col("lead").alias("doc")).distinct()
+        members = lists.select("term", "doc").union(leads)
+        ids = lists.select(F.col("doc").alias("id")).union(lists.select("lead")).distinct()
+        sets = materialize(self._some_docs(ids, "left_semi").mapInArrow(_sets(self.words), "id long, s binary"), "join-sets")
         # 1: each member against the least first member that may be linked with it
         first = self._filtered(lists.select(F.col("lead").alias("a"), F.col("doc").alias("b"))).groupBy("b").agg(F.min("a").alias("a"))
-        edges = self.verified(materialize(first.select("a", "b"), "join-pairs"))
-        seen = materialize(first.select("a", "b"), "join-seen")
-        members = materialize(lists.select("term", "doc").union(lists.select("term", F.col("lead"))).distinct(), "join-all")
-        # 2: members against the representatives of the other components in their lists
-        for last in (False, False, True):
-            mixed = self._labelled(members, edges)
+        seen = materialize(first.select("a", "b"), "join-pairs")
+        edges = self.verified(seen, sets)
+        # 2: members against the representatives of the other components in their lists, while that
+        # links any; 3: all that is left between different components
+        mixed, rounds, last = None, 0, False
+        while True:
+            mixed = self._mixed(members, edges) if mixed is None else mixed
             if mixed.isEmpty():
                 break
-            a = mixed.select("term", F.col("doc").alias("a"), F.col("part").alias("pa")).join(self._known("a"), "a")
-            if last:  # 3: all that is left between different components
-                b = mixed.select("term", F.col("doc").alias("b"), F.col("part").alias("pb"))
+            a = mixed.select("term", F.col("doc").alias("a"), F.col("part").alias("pa"))
+            if last:
+                b = mixed.select(F.col("term").alias("tb"), F.col("doc").alias("b"), F.col("part").alias("pb"))
             else:
-                b = mixed.groupBy("term", F.col("part").alias("pb")).agg(F.min("doc").alias("b"))
-            b = b.join(self._known("b"), "b")
-            on = (a["term"] == b["term"]) & ((F.col("pa") < F.col("pb")) if last else (F.col("pa") != F.col("pb"))) & self._near()
-            pairs = a.drop("term").join(b, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                b = mixed.groupBy(F.col("term").alias("tb"), F.col("part").alias("pb")).agg(F.min("doc").alias("b"))
+            a, b = a.join(self._known("a"), "a"), b.join(self._known("b"), "b")
+            on = (F.col("term") == F.col("tb")) & ((F.col("pa") < F.col("pb")) if last else (F.col("pa") != F.col("pb"))) & self._near()
+            pairs = a.join(b, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "join-pairs")
-            new = self.verified(pairs)
-            edges = materialize(edges.union(new), "join-edges")
-            seen = materialize(seen.union(pairs), "join-seen")
+            new = None
+            if not pairs.isEmpty():
+                new = self.verified(pairs, sets)
+                edges, seen = edges.union(new), seen.union(pairs)
+            if last:
+                break
+            rounds += 1
+            linked = new is not None and not new.isEmpty()
+            mixed = None if linked else mixed
+            last = not linked or rounds >= REPRESENTATIVE_ROUNDS
         self.links = edges
         return edges
 
     def result(self) -> DataFrame:
         edges = self.solve()
-        parts = connected_components(edges)
+        parts = connected_components(edges, native=False)
         rep = self.classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("c"))
-        rep = materialize(rep, "join-result")
+        rep = materialize(rep, "join-result")  # its size decides how it is joined
         out = self.meta.select("doc_id", "n", "k1", "k2").join(rep, ["k1", "k2", "n"], "left")
         return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
 
