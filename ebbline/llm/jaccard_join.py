@@ -7,7 +7,8 @@ Documents are sets of word shingles. Equal sets are one class. For the rest:
   under the key (a, b, subset), and linked sets meet under an equal key.
 * Heavy (large) sets are found by scanning inverted lists. The lists' terms are runs of the
   hash space: a linked pair differs in at most k elements, so of k + 1 runs one holds the
-  same elements on both sides. Such a term is about 1 / (1 - t) shingles together, so a
+  same elements on both sides. (Some runs more make sure that one of them isn't empty;
+  empty runs would be one list for all sets.) Such a term is about 1 / (1 - t) shingles together, so a
   passage that many documents share makes no long list, as its single shingles would.
 
 The boundary between the two is the size where the estimated cost (subsets against terms
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -116,10 +117,19 @@ class SizePlan:
             lo, hi = (mid + 1, hi) if self._classes[mid][1] < n else (lo, mid)
         return lo
 
-    def runs(self, i: int) -> int:
-        """k + 1 for pairs whose smaller set is of class i."""
+    def differing(self, i: int) -> int:
+        """k: the most elements that differ in a linked pair whose smaller set is of class i."""
         a = self._classes[i][1]
-        return (self.den - self.num) * (a + self.most_size(a)) // (self.den + self.num) + 1
+        return (self.den - self.num) * (a + self.most_size(a)) // (self.den + self.num)
+
+    def spare(self, i: int) -> int:
+        """Runs beyond k + 1: a set with no more empty runs than that needn't list them."""
+        least = self.differing(i) + 1
+        empty = least * exp(-self._classes[i][0] / least)
+        return ceil(2 * empty + 3 * sqrt(empty)) if empty >= 0.02 else 0
+
+    def runs(self, i: int) -> int:
+        return self.differing(i) + 1 + self.spare(i)
 
     def partners(self, n: int) -> list[int]:
         """Sizes of light sets that a set of n can be linked with (equal sets apart)."""
@@ -181,7 +191,10 @@ class SizePlan:
                     runs = self.runs(j)
                     ends = np.concatenate(([0], np.searchsorted(h, self.cuts(runs)), [n]))
                     sums = run[ends[1:]] - run[ends[:-1]]
-                    out.append(mix(mix(sums + np.uint64(j + 1) * _C3) + np.arange(runs, dtype=np.uint64)))
+                    keys = mix(mix(sums + np.uint64(j + 1) * _C3) + np.arange(runs, dtype=np.uint64))
+                    # of spare + 1 equal runs one isn't empty, unless both sets have more empty ones
+                    filled = ends[1:] > ends[:-1]
+                    out.append(keys[filled] if runs - int(filled.sum()) <= self.spare(j) else keys)
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
