@@ -2,9 +2,11 @@
 
 A vector is the sum of one word from each of M codebooks, all of full dimension. Codebooks
 are fitted on residuals and refined jointly; encoding is a beam search that keeps the best
-partial sums, so later words may mend earlier ones. Codes and the norm of each sum are
+partial sums, so later words may mend earlier ones. Codes and each row's distance to its
+sum, which bounds the error of its scores for any query, are
 stored. A query makes one table of inner products with all words; a row's approximate
-score is the sum of M looked-up entries. The best rows are reranked on original vectors.
+score is the sum of M looked-up entries. The best rows are reranked on original vectors,
+and so is every other row whose approximate score and error could still reach the k-th.
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import materialize
-from ebbline.llm.topk_pivot import _whole, as_matrix, blocks_of, main_dimension, ranked, valid_vectors
+from ebbline.llm.common import materialize, slices
+from ebbline.llm.topk_pivot import BLOCK, _whole, as_matrix, blocks_of, main_dimension, ranked, valid_vectors
 
 #: Rows the codebooks are fitted on (by hash of the id).
 MAX_SAMPLE = 8_192
 CODEBOOKS = 8
 WORDS = 256
 BEAM = 8
-#: Rows of each block that are reranked exactly, per query.
+#: Rows of each block that are reranked first, per query; the error bound adds the rest.
 RERANK = 1_000
 QUERIES_AT_ONCE = 4_096
 
@@ -104,10 +106,16 @@ class AdditiveQuantiser:
         return self.books @ q.astype(np.float32).T
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, row ids and exact scores of each query's best k of a block."""
+def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, q_ids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query ids, row ids and exact scores of each query's best k of a block.
+
+    ``error``: at least |row - decoded row|. The ``rerank`` rows of the best approximate
+    scores give a k-th score to beat; every other row that could reach it, as a tie too,
+    is scored exactly as well, however many there are.
+    """
     out = ([], [], [])
     m = len(tables)
+    biggest = float(np.sqrt((x * x).sum(axis=1).max())) if len(x) else 0.0
     for a in range(0, len(q), 64):
         part = tables[:, :, a : a + 64]
         approx = part[0][codes[:, 0]]
@@ -117,8 +125,19 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, q_ids: np.nd
         approx = np.ascontiguousarray(approx.T)
         near = np.argpartition(-approx, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(take), (approx.shape[0], 1))
         for j, rows in enumerate(near):
+            own, norm = q[a + j], float(np.sqrt(q[a + j] @ q[a + j]))
+            slack = 1e-12 * norm * biggest  # over the rounding of double sums
             rows = rows[ids[rows] != q_ids[a + j]]
-            s = exact(x[rows], q[a + j])
+            s = x[rows] @ own
+            if take < len(ids):
+                least = np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else -np.inf
+                could = ~(approx[j] + norm * error < least - slack)  # not a number could too
+                could[near[j]] = False
+                more = np.flatnonzero(could & (ids != q_ids[a + j]))
+                rows, s = np.concatenate([rows, more]), np.concatenate([s, x[more] @ own])
+            if len(s) > k:  # the order among those that can be one of k is by exact sums
+                rows = rows[s >= np.partition(s, len(s) - k)[len(s) - k] - 2 * slack]
+            s = exact(x[rows], own)
             pick = np.lexsort((ids[rows], -s))[:k]
             out[0].append(np.full(len(pick), q_ids[a + j]))
             out[1].append(ids[rows[pick]])
@@ -126,13 +145,20 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, q_ids: np.nd
     return tuple(np.concatenate(c) if c else np.zeros(0) for c in out)
 
 
+def error_bound(x: np.ndarray, sums: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """|x - its decoded sum| of each row, and room for what single precision loses in decoding and in scores."""
+    most = float(np.sqrt((books.astype(np.float64) ** 2).sum(axis=2)).max(axis=1).sum())
+    gap = x - sums
+    return np.sqrt((gap * gap).sum(axis=1)) * (1 + 1e-9) + 1e-6 * (len(books) + books.shape[2]) * most
+
+
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed from the first component to the last."""
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERANK, m: int = CODEBOOKS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found by inner product.
+    """query_id, rank, vec_id, score: the k highest inner products.
 
     Frames are (vec_id, v array<double>). Every row is indexed; codebooks are fitted on at
     most ``MAX_SAMPLE`` rows. A query's own id is no candidate; ties go to the smaller id;
@@ -154,12 +180,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = R
         aq = AdditiveQuantiser(books.value)
         for b in batches:
             codes = aq.encode(as_matrix(b.column(1), d))
-            sums = aq.decode(codes)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(list(codes), pa.list_(pa.int16())), pa.array((sums * sums).sum(axis=1).astype(np.float32))], names=["vec_id", "v", "codes", "norm"]
-            )
+            error = error_bound(as_matrix(b.column(1), d), aq.decode(codes), aq.books)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(codes), pa.list_(pa.int16())), pa.array(error)], names=["vec_id", "v", "codes", "error"])
 
-    table = materialize(rows.mapInArrow(index, "vec_id long, v array<double>, codes array<short>, norm float"), "ann-index")
+    table = materialize(rows.mapInArrow(index, "vec_id long, v array<double>, codes array<short>, error double"), "ann-index")
     wanted = materialize(queries.where(F.size("v") == d).select("vec_id", "v"), "ann-queries")
     n_blocks = max(1, -(-wanted.count() // QUERIES_AT_ONCE))
     parts = []
@@ -175,9 +199,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = R
             q_ids, q = asked.value
             aq = AdditiveQuantiser(books.value)
             tables = aq.lookup(q)
-            for b in _whole(batches):
+            for b in (part for whole in _whole(batches, BLOCK) for part in slices(whole, BLOCK)):
                 codes = as_matrix(b.column(2), len(aq.books))
-                found = search_block(b.column(0).to_numpy(), as_matrix(b.column(1), d), codes, q_ids, q, tables, k, rerank)
+                found = search_block(b.column(0).to_numpy(), as_matrix(b.column(1), d), codes, b.column(3).to_numpy(), q_ids, q, tables, k, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
         parts.append(table.mapInArrow(search, "query_id long, vec_id long, score double"))

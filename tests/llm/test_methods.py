@@ -249,6 +249,21 @@ def test_ann_recall(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_ann_finds_all_among_many_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x[::3] = x[0]  # a third are copies of one vector, others nearly so
+    x[1::30] = x[0] * (1 + 1e-9 * rng.normal(size=(100, 1)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    got = collections.defaultdict(list)
+    for r in additive_ann.nearest(df, df.where("vec_id % 60 < 2"), 20, rerank=100).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 100
+    for q, found in got.items():
+        s = additive_ann.exact(x, x[q])
+        assert found == [int(i) for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+
+
 def test_beam_is_no_worse_than_greedy():
     x = np.random.default_rng(3).normal(size=(600, 16))
     aq = additive_ann.AdditiveQuantiser.fit(x, 4, 32)
