@@ -293,6 +293,21 @@ def test_kneser_ney_sums_to_one():
             assert total < 1.0001
 
 
+def test_language_models_hold_every_ngram(spark):
+    rnd = random.Random(8)
+    rows = [("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))), lang) for lang in ("en", "xx") for _ in range(55_000)]
+    docs = spark.createDataFrame([(" ".join(w for w, _ in rows[i : i + 300]), rows[i][1]) for i in range(0, len(rows), 300)], "text string, lang string")
+    model = language_id.train(docs)
+    grams = language_id.count_grams(docs, "text", "lang").toPandas()
+    assert grams.groupby("lang").size().min() > 200_000
+    want = language_id.KneserNey.fit(grams)
+    assert model.langs == want.langs and np.allclose(model.floor, want.floor)
+    for loaded in (model, language_id.KneserNey.load(model.dump())):
+        for n in range(1, 6):
+            for mine, other in ((loaded.grams[n], want.grams[n]), (loaded.contexts[n - 1], want.contexts[n - 1])):
+                assert (mine[0] == other[0]).all() and np.allclose(mine[1], other[1], atol=1e-4)
+
+
 def _prefix(model, head, lang):
     return sum(_step(model, head[:i], head[i], lang) for i in range(len(head)))
 
