@@ -5,7 +5,8 @@ node, presentation importance is the entropy of its child styles over the host's
 content importance falls with the share of pages on which the same contents appear there:
 what a site repeats carries little information. Branches of low importance are removed from
 each page, as are branches whose element says that they are no article (menus, forms,
-adverts and so on); an explicit article is kept from removal by repetition alone.
+adverts and so on). Both hold in an explicit article and out of it; only one that the
+tree would remove as a whole is kept.
 """
 
 from __future__ import annotations
@@ -181,10 +182,14 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, str]]:
 
 
 def main_text(blocks: list[Block], low: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article, or without one of the body, less noise and the nodes in ``low``."""
-    if any(b.article and not b.noise for b in blocks):
-        return "\n\n".join([b.text for b in blocks if b.article and not b.noise])
-    return "\n\n".join([b.text for b in blocks if not b.noise and b.path not in low and b.linked < 0.8 * len(b.text)])
+    """Blocks less noise and the nodes in ``low``, in the article and out of it.
+
+    Out of it, blocks that are mostly links go too. An article that a site repeats as a
+    whole stays: the tree alone can't leave it empty.
+    """
+    article = [b for b in blocks if b.article and not b.noise]
+    whole = all(b.path in low for b in article)
+    return "\n\n".join([b.text for b in blocks if not b.noise and ((whole or b.path not in low) if b.article else b.path not in low and b.linked < 0.8 * len(b.text))])
 
 
 def _signed(x: int) -> int:

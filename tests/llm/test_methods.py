@@ -204,6 +204,13 @@ def test_site_tree_removes_what_a_site_repeats(spark):
     assert got[3] == "Own text 3 of this page" and got[9] == "Same words everywhere\n\nOwn text 9 of this page\n\nChoice 0"
 
 
+def test_site_tree_judges_in_and_out_of_the_article(spark):
+    page = "<body><h1>Lead {i}</h1><article><p>Own text {i}</p><div class='who'><p>Written by our staff</p></div></article><div class='x'><p>Same words everywhere</p></div></body>"
+    rows = [(i, f"http://h.net/{i}", page.format(i=i)) for i in range(8)] + [(i, "http://copy.net/", "<body><article><p>A copied text</p></article></body>") for i in range(20, 28)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Lead 3\n\nOwn text 3" and got[21] == "A copied text"
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     x = np.floor(256 * rng.normal(size=(900, 8)) * 0.3)
