@@ -316,6 +316,47 @@ class _Phase:
         return low
 
 
+# -- small sources ----------------------------------------------------------------
+def pool_paths(sources: DataFrame) -> DataFrame:
+    """(pq, rank, path) of the sources (queue, own, n) that share one queue.
+
+    They are the leaves of a binary tree, split by the bits of their rank by size, lowest
+    first, so that both sides of a node hold about as much. ``path``: the tokens under each
+    node from the root to the leaf.
+    """
+    from pyspark.sql import Window
+
+    ranked = materialize(sources.select(F.col("queue").alias("pq"), "n", (F.row_number().over(Window.orderBy(F.desc("n"), "own")) - 1).cast("long").alias("rank")), "pack-small")
+    depth = max(0, ranked.count() - 1).bit_length()
+    nodes = ranked.select("rank", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("b")).withColumn("node", F.expr("rank % shiftleft(1L, b)"))
+    sums = nodes.groupBy("b", "node").agg(F.sum("n").alias("held"))
+    path = nodes.join(sums, ["b", "node"]).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("b", "held")))["held"].alias("path"))
+    return ranked.join(path, "rank").select("pq", "rank", "path")
+
+
+def pool_places(start: int, n: int, rank: int, path: list[int]) -> np.ndarray:
+    """Where n tokens of a small source, from its token ``start``, stand in the shared queue.
+
+    Of a node's first x tokens floor(x * left / all) are the left child's, the others the
+    right one's; from leaf to root this gives each token its own place.
+    """
+    t = np.arange(start, start + n).astype(np.int64 if path[0] < 1 << 31 else object)
+    for b in range(len(path) - 2, -1, -1):
+        t = t * path[b] // path[b + 1] if rank >> b & 1 else -(-(t + 1) * path[b] // path[b + 1]) - 1
+    return t.astype(np.int64)
+
+
+def _pieces(schedule: Schedule, queue: int, start: int, n: int, rank: int | None, path: list[int] | None):
+    if path is None:
+        yield from schedule.pieces(queue, start, n)
+        return
+    places = pool_places(start, n, rank, path)
+    cuts = [0, *(np.flatnonzero(np.diff(places) != 1) + 1).tolist(), n]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        for at, size, window, offset in schedule.pieces(queue, int(places[lo]), hi - lo):
+            yield lo + at, size, window, offset
+
+
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -329,8 +370,11 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, int] | None =
     own, other columns aren't read, an empty table gives no rows. Only the last sequence
     can be short. Documents are tokenized once, in a narrow pass into the shared folder;
     queue offsets are sums per source and task; no text is shuffled, and a source of any
-    size is spread over all tasks that read it. Sources beyond ``MAX_QUEUES`` share
-    queues by hash, so the schedule that goes to the tasks has a fixed bound.
+    size is spread over all tasks that read it. Beyond ``MAX_QUEUES`` sources, the largest
+    keep queues of their own and the small ones are interleaved token by token in one
+    shared queue by a tree of their sizes, so proportions hold for every source and the
+    schedule that goes to the tasks has a fixed bound. That cuts small sources into pieces
+    of few tokens.
     """
     spark = docs.sparkSession
     tokens = materialize(tokenize(docs, tokenizer_path, id_col, text_col, source_col, end_id), "pack-tokens")
@@ -338,11 +382,14 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, int] | None =
     if weights and len(weights) > most:
         raise ValueError(f"weights for more than {most} sources")
     own = F.coalesce(F.concat(F.lit("="), F.col("queue")), F.lit("-"))
-    if tokens.select("queue").distinct().count() > most:
-        named = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(most)))
-        named = F.when(F.col("queue").isin(list(weights)), own).otherwise(named) if weights else named
-    else:
-        named = own
+    sources = tokens.groupBy("queue").agg(F.sum("n").alias("n")).withColumn("own", own)
+    named, paths = own, None
+    if sources.count() > most:
+        given = [f"={k}" for k in weights or {}]
+        others = sources.where(~F.col("own").isin(given)).orderBy(F.desc("n"), "own").limit(most - 1)
+        big = given + [r["own"] for r in others.select("own").collect()]
+        named = F.when(own.isin(big), own).otherwise(F.lit("#"))
+        paths = materialize(pool_paths(sources.where(~F.col("own").isin(big))), "pack-paths")
     weights = {f"={k}": v for k, v in weights.items()} if weights else None
     # a block is what one task holds of one source
     blocks = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")).withColumn("q", named)
@@ -354,11 +401,15 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, int] | None =
     plan = spark.sparkContext.broadcast(json.dumps({"names": names, "totals": [totals[q] for q in names], "weights": [int((weights or {}).get(q, 0)) for q in names] if weights else None, "length": length}))
     from pyspark.sql import Window
 
-    w = Window.partitionBy("q").orderBy("part", F.col("queue").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("q", "queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select(F.col("queue").alias("bq"), F.col("part").alias("bp"), "q", "before")
+    if paths is None:
+        before = before.withColumns({"rank": F.lit(0).cast("long"), "path": F.lit(None).cast("array<long>")})
+    else:
+        before = before.join(paths, F.col("bq").eqNullSafe(F.col("pq")), "left").drop("pq")
     before = materialize(before, "pack-before")
     placed = tokens.join(before, F.col("queue").eqNullSafe(F.col("bq")) & (F.col("part") == F.col("bp")))
-    placed = placed.select("doc_id", "q", (F.col("before") + F.col("start")).alias("start"), "n", "ids")
+    placed = placed.select("doc_id", "q", (F.col("before") + F.col("start")).alias("start"), "n", "ids", "rank", "path")
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches):
@@ -368,10 +419,10 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, int] | None =
         for batch in batches:
             for b in slices(batch, 1000):
                 rows = []
-                for doc, q, start, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for doc, q, start, n, raw, rank, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     ids = _wide(raw, n)
                     view = memoryview(ids.tobytes())
-                    for at, size, window, offset in schedule.pieces(number[q], start, n):
+                    for at, size, window, offset in _pieces(schedule, number[q], start, n, rank, path):
                         rows.append((doc, at, size, zlib.crc32(view[4 * at : 4 * (at + size)]), n, window, offset) + ((ids[at : at + size].astype(np.int32),) if with_ids else ()))
                 yield _batch(rows, arrow)
 

@@ -67,6 +67,31 @@ def test_schedule_keeps_proportions_and_covers():
                 assert all(abs(c - 64 * t / sum(totals)) < 2 for c, t in zip(share[k], totals, strict=True))
 
 
+def test_packing_keeps_proportions_of_many_sources(spark):
+    from ebbline.llm.packing import pack
+
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice(("red", "tree", "house")) for _ in range(20)), "hot" if i % 3 == 0 else f"s{i % 37}") for i in range(600)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), PATH, length=64).collect()
+    source, seats = {i: s for i, _, s in rows}, collections.defaultdict(set)
+    share, docs = collections.defaultdict(collections.Counter), collections.defaultdict(list)
+    for r in got:
+        span = set(range(r["offset"], r["offset"] + r["length"]))
+        assert not span & seats[r["sequence_id"]]
+        seats[r["sequence_id"]] |= span
+        share[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
+        docs[r["doc_id"]] += range(r["start"], r["start"] + r["length"])
+        docs[r["doc_id"], "n"] = [r["doc_tokens"]]
+    assert all(sorted(docs[i]) == list(range(docs[i, "n"][0])) for i in source)
+    totals = sum(share.values(), collections.Counter())
+    whole, run = sum(totals.values()), collections.Counter()
+    assert sorted(seats) == list(range(-(-whole // 64)))
+    for k in range(whole // 64):
+        assert seats[k] == set(range(64))
+        run.update(share[k])
+        assert all(abs(run[s] - 64 * (k + 1) * totals[s] / whole) < 5 for s in totals)
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_curve_steps_to_neighbours(spark, dims, bits):
     cells = list(itertools.product(range(1 << bits), repeat=dims))
