@@ -16,7 +16,6 @@ import re
 import sys
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import chain, slices, word_blocks
+from ebbline.llm.common import map_arrow, slices, worker_keeps
 
 #: White space of Unicode, which separates words here; str.split() also cuts at 1C to 1F.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -230,10 +229,9 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-@lru_cache(2)
 def chunk_cache(path: str) -> ChunkCache:
-    """One per Python worker and file."""
-    return ChunkCache(PrefixBPE(path))
+    """One per Python worker."""
+    return worker_keeps(("bpe", path), lambda: ChunkCache(PrefixBPE(path)))
 
 
 def split_chunks(text: str) -> list[str]:
@@ -292,7 +290,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = DIGEST_SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
-    return slim.mapInArrow(_digests(tokenizer_path, with_ids), schema)
+    return map_arrow(slim, _digests(tokenizer_path, with_ids), schema)
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -312,5 +310,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
-
-__all__ = ["PrefixBPE", "chain", "decode_documents", "encode_documents", "query", "word_blocks"]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
+import ctypes
 import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SCRATCH = "/tmp/checkpoints/ebbline"
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,49 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
+
+    Spark's own default of 10,000 rows piles up long texts in an executor's memory beside
+    its heap. A session that asks for fewer rows keeps its setting.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def _give_back() -> None:
+    """Freed memory goes from a worker, which waits for its next task, to the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_KEPT: list = [None, None]
+
+
+def worker_keeps(key, make):
+    """What an operator keeps between the tasks of one Python worker, made once.
+
+    A worker serves one operator after another; what the one before has kept goes first, so
+    a worker holds one operator's caches at a time.
+    """
+    if _KEPT[0] != key:
+        _KEPT[:] = [None, None]
+        _KEPT[:] = [key, make()]
+    return _KEPT[1]
+
+
 def fresh(*frames: DataFrame, stem: str = "ebb") -> str:
     """A column-name prefix that no column of ``frames`` starts with."""
     used = [c.lower() for f in frames for c in f.columns]
@@ -96,17 +141,37 @@ def _pieces(text: str, max_chars: int):
         at = end
 
 
+def joined_batches(batches, rows: int = 1_000, size: int = 1 << 22):
+    """Arrow batches of about ``rows`` rows or ``size`` bytes, made of a task's smaller ones."""
+    held, n, most = [], 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        most += b.nbytes
+        if n >= rows or most >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, most = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class ChunkTable(dict):
     """Chunk -> row number, with one feature row per chunk, computed once per worker.
 
     ``features(chunks) -> (len(chunks), width)`` array. The table is emptied when it has
-    more than ``limit`` chunks, so its memory is bounded whatever the corpus holds.
+    more than ``limit`` chunks or has met one over ``longest`` characters, so its memory is
+    bounded whatever the corpus holds.
     """
 
-    def __init__(self, features, width: int, limit: int = 300_000, dtype=np.float32):
+    longest = 256
+
+    def __init__(self, features, width: int, limit: int = 150_000, dtype=np.float32):
         super().__init__()
         self.features, self.width, self.limit, self.dtype = features, width, limit, dtype
         self.pending: list[str] = []
+        self.full = False
         self.rows = np.zeros((1 << 12, width), dtype)
 
     def __missing__(self, chunk: str) -> int:
@@ -116,8 +181,9 @@ class ChunkTable(dict):
         return at
 
     def at(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.limit:
+        if self.full:
             self.clear()
+            self.full = False
         found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.pending:
             start = len(self) - len(self.pending)
@@ -126,6 +192,7 @@ class ChunkTable(dict):
                 more[:start] = self.rows[:start]
                 self.rows = more
             self.rows[start : len(self)] = self.features(self.pending)
+            self.full = len(self) > self.limit or max(map(len, self.pending)) > self.longest
             self.pending = []
         return found
 
@@ -143,7 +210,3 @@ def slices(batch, max_rows: int = 2000):
     """Smaller slices of an Arrow batch."""
     for at in range(0, batch.num_rows, max_rows):
         yield batch.slice(at, max_rows)
-
-
-def chain(lists) -> list:
-    return list(itertools.chain.from_iterable(lists))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import fresh, materialize, slices
+from ebbline.llm.common import fresh, map_arrow, materialize, slices
 from ebbline.llm.url_filter import host_of
 
 #: Weight of the contents against the presentation, and the importance below which a node goes.
@@ -222,7 +222,7 @@ def site_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     Counts run over all pages and are pre-aggregated per task, also for a hot host.
     """
     slim = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
-    found = slim.mapInArrow(_features, "host string, node long, kind int, feature long")
+    found = map_arrow(slim, _features, "host string, node long, kind int, feature long")
     counts = found.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
     n, style, text = F.col("n").cast("double"), F.col("kind") == 0, F.col("kind") == 1
     nodes = counts.groupBy("host", "node").agg(
@@ -269,7 +269,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", id_col: str
                     texts.append(main_text(blocks, {x & (1 << 64) - 1 for x in gone} if gone else frozenset()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["page_id", "url", "text", "n_chars"])
 
-    return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(both, run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

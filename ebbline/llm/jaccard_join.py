@@ -29,10 +29,10 @@ from math import ceil, comb, exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import materialize, slices
+from ebbline.llm.common import map_arrow, materialize, slices, worker_keeps
 from ebbline.llm.components import connected_components
 
 BITMAP_WORDS = 8
@@ -62,13 +62,14 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) > 400_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = found
         return found
 
 
-_WORDS = _Words()
+def _words() -> _Words:
+    return worker_keeps("shingles", _Words)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -80,7 +81,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     found = text.encode("utf-8", "replace").lower().split() if text else []
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(_words().__getitem__, found), np.uint64, len(found))
     size = min(words, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - size + 1, size, np.uint64)
@@ -296,7 +297,7 @@ class JaccardJoin:
         if not 2 * self.num >= self.den or not self.num <= self.den:
             raise ValueError("the threshold must be from 0.5 to 1")
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.meta = materialize(self.docs.mapInArrow(_meta(words), _META), "join-meta")
+        self.meta = materialize(map_arrow(self.docs, _meta(words), _META), "join-meta")
         some = self.meta.where("n > 0 and doc_id is not null")
         marks = [F.first(f"m{i}").alias(f"m{i}") for i in range(BITMAP_WORDS)]  # equal within a class
         self.classes = materialize(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *marks), "join-classes")
@@ -316,9 +317,19 @@ class JaccardJoin:
         rep = self.meta.where("n > 0").join(self.classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"])
         copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("id")).distinct()
         alone = self._some_docs(copies, "left_anti").where("doc_id is not null")
-        terms = alone.mapInArrow(_terms(self.words, self.num, self.den, plan.light), "term long, doc long")
+        terms = map_arrow(alone, _terms(self.words, self.num, self.den, plan.light), "term long, doc long")
         ranged = terms.repartition("term").sortWithinPartitions("term", "doc")
-        return materialize(ranged.mapInArrow(_scan, "term long, lead long, doc long"), "join-lists")
+        return materialize(map_arrow(ranged, _scan, "term long, lead long, doc long"), "join-lists")
+
+    def _different(self, lists: DataFrame) -> DataFrame:
+        """One of the lists of equal members, known by two hash sums and their number.
+
+        Two sets that share many elements share many terms, whose lists say the same.
+        """
+        doc = F.col("doc")
+        signs = lists.groupBy("term").agg(F.min("lead").alias("lead"), F.bit_xor(F.xxhash64(doc)).alias("x"), F.sum(F.shiftright(F.xxhash64(doc, F.lit(7)), 24)).alias("y"), F.count("*").alias("c"))
+        kept = signs.groupBy("lead", "x", "y", "c").agg(F.min("term").alias("term"))
+        return materialize(lists.join(kept.select("term"), "term", "left_semi"), "join-lists")
 
     def _known(self, name: str) -> DataFrame:
         return self.classes.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(f"m{i}").alias(f"{name}_m{i}") for i in range(BITMAP_WORDS)])
@@ -336,24 +347,29 @@ class JaccardJoin:
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of ``pairs`` that are linked."""
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a long, b long").distinct(), "join-links")
+        both = pairs
+        for side, name in (("a", "x"), ("b", "y")):  # only the sets asked for are moved
+            ids = materialize(pairs.select(F.col(side).alias("wanted")).distinct(), "join-wanted")
+            ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+            some = sets.join(ids, sets["id"] == ids["wanted"], "left_semi")
+            both = both.join(some.select(F.col("id").alias(side), F.col("s").alias(name)), side)
+        return materialize(map_arrow(both.select("a", "b", "x", "y"), _verify(self.num, self.den), "a long, b long").distinct(), "join-links")
 
     def _mixed(self, members: DataFrame, edges: DataFrame) -> DataFrame:
         """Members (term, doc, part) of lists that still hold several components."""
         parts = connected_components(edges, native=False).withColumnRenamed("node", "doc")
         out = members.join(parts, "doc", "left").select("term", "doc", F.coalesce("component", "doc").alias("part"))
-        w = Window.partitionBy("term")
-        out = out.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).where("lo <> hi")
-        return materialize(out.select("term", "doc", "part"), "join-mixed")
+        # a list of any length is one row a task here, and may be split in the join
+        some = out.groupBy("term").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+        return materialize(out.join(some.select("term"), "term", "left_semi"), "join-mixed")
 
     def solve(self) -> DataFrame:
         """Edges between classes that hold their links together: (a, b)."""
-        lists = self.lists()
+        lists = self._different(self.lists())
         leads = lists.select("term", F.col("lead").alias("doc")).distinct()
         members = lists.select("term", "doc").union(leads)
         ids = lists.select(F.col("doc").alias("id")).union(lists.select("lead")).distinct()
-        sets = materialize(self._some_docs(ids, "left_semi").mapInArrow(_sets(self.words), "id long, s binary"), "join-sets")
+        sets = materialize(map_arrow(self._some_docs(ids, "left_semi"), _sets(self.words), "id long, s binary"), "join-sets")
         # 1: each member against the least first member that may be linked with it
         first = self._filtered(lists.select(F.col("lead").alias("a"), F.col("doc").alias("b"))).groupBy("b").agg(F.min("a").alias("a"))
         seen = materialize(first.select("a", "b"), "join-pairs")
@@ -393,7 +409,7 @@ class JaccardJoin:
         rep = self.classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("c"))
         rep = materialize(rep, "join-result")  # its size decides how it is joined
         out = self.meta.select("doc_id", "n", "k1", "k2").join(rep, ["k1", "k2", "n"], "left")
-        return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
+        return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull() | F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,438 +1,320 @@
 """Packing with mixture control: deficit round-robin over source queues.
 
-Each source's documents form a queue of tokens. Every window of ``length`` tokens takes
-from each queue its quantum, the target proportion of the window, plus the deficit that
-the windows before have left it. With cutting allowed the deficit stays under one token,
-and what queue j has given after k windows has the closed form
-
-    sum of the first j queues = floor(k * length * W_j / W)
-
-(W_j: running weight). So the deficits pass over windows and partitions by arithmetic:
-any task can place its tokens without the others. A queue that runs out ends a phase; the
-next one shares its quantum among the rest.
+Each source's documents form a queue. In every round a queue's deficit grows by its quantum,
+its target share of one window, and it sends documents while its deficit covers them; what is
+left of the deficit goes on to the next round. The documents sent one after another are the
+stream that fills the windows of ``length`` tokens; a document is cut where a window ends.
+A document over ``most`` tokens is sent in runs of that size, so that a window never falls
+far from its target for the sake of one long document.
+
+As queues always hold their documents in advance, the round of a run has a closed form: it is
+the first one in which all quanta so far, with the queue's credit, cover the queue up to the
+run's end. So deficits pass over windows and partitions by arithmetic: rounds are dealt in
+blocks, each task orders its own blocks, and running sums of the blocks' tokens say where each
+block begins in the stream.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
+import os
 import zlib
-from bisect import bisect_right
-from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ebbline.llm.common import materialize, slices, word_blocks
+from ebbline.llm.common import joined_batches, map_arrow, materialize, worker_keeps
+from ebbline.llm.words import cut_words, text_blocks
 
 LENGTH = 2048
 END_ID = 1
-MAX_QUEUES = 256
-#: The file's pattern for lower-case ASCII without apostrophes.
-_ASCII_WORD = re.compile("[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: Rounds that one task orders at a time: about half a million tokens.
+ROUNDS_A_BLOCK = 256
+#: Blocks whose running sums are made together.
+BLOCKS_A_GROUP = 4096
 
 
 # -- tokens ---------------------------------------------------------------------
-class _Chunks:
-    """chunk -> packed ids by the tokenizers library; two generations of bounded size.
+class _Encoder:
+    """Packed ids of words and texts by the tokenizers library.
 
-    A new chunk of plain letters is normalised and cut into words as the file says, and
-    its new words go to the library all at once; other chunks go there as they are.
+    New words go to the library all at once; they are kept in two generations of bounded
+    size, long ones not at all.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
-        import os
-
+    def __init__(self, path: str, limit: int = 50_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        def load() -> Tokenizer:
-            tok = Tokenizer.from_file(path)
-            tok.no_truncation()
-            tok.no_padding()
-            return tok
-
-        self.tok, self.words_tok = load(), load()
+        self.path, self.whole = path, None
         # for words that are normalised and cut already
+        self.words_tok = Tokenizer.from_file(path)
+        self.words_tok.no_truncation()
+        self.words_tok.no_padding()
         self.words_tok.normalizer = normalizers.Sequence([])
         self.words_tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        spec = json.loads(self.tok.to_str())
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.cut = regex.compile(split["pattern"]["Regex"]).findall
-        vocab = spec["model"]["vocab"]
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        vocab, last = self.words_tok.get_vocab(), self.words_tok.model.end_of_word_suffix
+        size = 1 + max(vocab.values())
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(last)]] = True
         self.limit = limit
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def packed(self, chunks: list[str]) -> list[bytes]:
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        got = list(map(self.new.get, chunks))
-        missing = [i for i, x in enumerate(got) if x is None]
-        if missing:
-            found = self._encode({chunks[i] for i in missing})
-            for i in missing:
-                got[i] = found[chunks[i]]
-            self.new.update((c, x) for c, x in found.items() if len(c) <= 64)
-        return got
-
-    def _encode(self, chunks: set[str]) -> dict[str, bytes]:
-        found, cut_up, odd = {}, {}, []
-        known, old, cut = self.words, self.old, self.cut
-        if len(known) > 2 * self.limit:
-            known.clear()
-        for c in chunks:
-            if c in old:
-                found[c] = old[c]
-            elif "<|" in c or len(c) > 64:
-                odd.append(c)
-            elif c.isascii():
-                w = c.lower()
-                if w in known:  # a word by itself
-                    found[c] = known[w]
-                elif w.isalpha():
-                    cut_up[c] = (w,)
-                else:
-                    cut_up[c] = cut(w) if "'" in w else _ASCII_WORD(w)
-            elif max(c) < "\u0250":
-                cut_up[c] = cut("".join(map(str.lower, unicodedata.normalize("NFC", c))))
+    def text(self, text: str) -> np.ndarray:
+        if self.whole is None:  # few corpora need it
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.no_truncation()
+            self.whole.no_padding()
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct normalised words, in ``self.kind``."""
+        if len(self.words) > self.limit:
+            self.old, self.words = self.words, {}
+        known, old, width = self.words, self.old, self.kind.itemsize
+        out = list(map(known.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            found = old.get(words[i])
+            if found is None:
+                new.append(i)
             else:
-                odd.append(c)
-        new = list({w for ws in cut_up.values() for w in ws if w not in known})
-        if new:
-            ids = np.array(self.words_tok.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+                out[i] = known[words[i]] = found
+        for lo in range(0, len(new), 20_000):
+            part = [words[i] for i in new[lo : lo + 20_000]]
+            ids = np.array(self.words_tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(new):
+            if len(stops) != len(part):
                 raise RuntimeError("the tokenizer's words aren't those cut here")
             raw, at = ids.tobytes(), 0
-            for w, stop in zip(new, (4 * stops).tolist(), strict=True):
-                known[w] = raw[at:stop]
+            for i, w, stop in zip(new[lo : lo + 20_000], part, (width * stops).tolist(), strict=True):
+                out[i] = raw[at:stop]
+                if len(w) <= 32:
+                    known[w] = out[i]
                 at = stop
-        for c, ws in cut_up.items():
-            found[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
-        for c, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
-            found[c] = np.array(e.ids, "<u4").tobytes()
-        return found
+        return out
 
 
-@lru_cache(2)
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path)
+def _encoder(path: str) -> _Encoder:
+    return worker_keeps(("packing", path), lambda: _Encoder(path))
 
 
-def token_bytes(texts, path: str) -> list[bytes]:
-    """Packed ids of each whole text.
+def token_ids(texts: pa.Array, path: str, end: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets): the ids of all whole texts in a row, each with ``end`` behind it, and where each text's begin.
 
-    The file's normaliser and pre-tokeniser never join what white space parts, so a text
-    is encoded chunk by chunk and every distinct chunk only once.
+    Texts are cut into words and every distinct word of a block is encoded once; texts that
+    can't be cut with certainty are encoded by the library as a whole.
     """
-    cache = _chunks(path)
-    out: list[list[bytes]] = [[] for _ in texts]
-    odd = {i for i, t in enumerate(texts) if t and _odd(t)}
-    for i in odd:
-        out[i].append(np.array(cache.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes())
-    for owner, lengths, words in word_blocks([None if i in odd else t for i, t in enumerate(texts)]):
-        got, at = cache.packed(words), 0
-        for i, n in zip(owner.tolist(), lengths.tolist(), strict=True):
-            out[i].append(b"".join(got[at : at + n]))
-            at += n
-    return [x[0] if len(x) == 1 else b"".join(x) for x in out]
-
-
-def _odd(text: str) -> bool:
-    """Whether str.split() would cut where the file doesn't."""
-    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    encoder = _encoder(path)
+    parts: list[np.ndarray] = []
+    counts = np.zeros(len(texts), np.int64)
+    for lo, hi in text_blocks(texts):
+        words, n_words, unsure = cut_words(texts[lo:hi])
+        coded = words.dictionary_encode()
+        raw = encoder.encode(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // encoder.kind.itemsize
+        pool = np.frombuffer(b"".join(raw), encoder.kind)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        stop = np.concatenate(([0], np.cumsum(n)))
+        # token i of the block is pool[where its word's ids begin + i - where the word begins in the block]
+        flat = pool[np.repeat((np.cumsum(size) - size)[at] - stop[:-1], n) + np.arange(stop[-1])]
+        own = np.diff(stop[np.concatenate(([0], np.cumsum(n_words)))])
+        if unsure.any():
+            odd = [encoder.text(texts[lo + i].as_py()) for i in np.flatnonzero(unsure).tolist()]
+            own[unsure] = [len(x) for x in odd]
+            whole = np.empty(own.sum(), encoder.kind)
+            there = np.repeat(unsure, own)
+            whole[there], whole[~there] = np.concatenate(odd), flat
+            flat = whole
+        parts.append(flat)
+        counts[lo:hi] = own
+    flat = np.concatenate(parts) if parts else np.zeros(0, encoder.kind)
+    offsets = np.concatenate(([0], np.cumsum(counts)))
+    if end:
+        if max(end) > np.iinfo(encoder.kind).max:
+            flat = flat.astype("<u4")
+        flat = np.insert(flat, np.repeat(offsets[1:], len(end)), np.tile(np.array(end, flat.dtype), len(texts)))
+        offsets = offsets + len(end) * np.arange(len(offsets))
+    return flat, offsets
+
+
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """The ids of each whole text as little-endian unsigned 32-bit integers."""
+    flat, offsets = token_ids(pa.array(texts, pa.string()), path)
+    raw = flat.astype("<u4").tobytes()
+    return [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 TOKEN_SCHEMA = "doc_id long, queue string, part int, start long, n long, ids binary"
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int = END_ID) -> DataFrame:
-    """Documents as packed ids with the end id, and their place in their queue within the task."""
+    """Documents as packed ids (two or four bytes each) with the end id, and their place in their queue within the task."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         filled: dict[str | None, int] = {}
-        tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for b in slices(batch, 1000):
-                ids = [x + tail for x in token_bytes(b.column(1).to_pylist(), path)]
-                queues = b.column(2).to_pylist()
-                starts = []
-                for q, x in zip(queues, ids, strict=True):
-                    starts.append(filled.get(q, 0))
-                    filled[q] = starts[-1] + len(x) // 4
-                n = [len(x) // 4 for x in ids]
-                narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if small else x for x, small in zip(ids, [_small(x) for x in ids], strict=True)]
+        for b in joined_batches(batches):
+            flat, offsets = token_ids(b.column(1), path, [end_id])
+            n, starts = np.diff(offsets), []
+            for q, k in zip(b.column(2).to_pylist(), n.tolist(), strict=True):
+                at = filled.get(q, 0)
+                starts.append(at)
+                filled[q] = at + k
+            for lo, hi in _slices(offsets * flat.itemsize):
+                own = offsets[lo : hi + 1]
+                raw = pa.py_buffer(flat[own[0] : own[-1]].tobytes())
+                ids = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(((own - own[0]) * flat.itemsize).astype(np.int32).tobytes()), raw])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(queues, pa.string()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(narrow, pa.binary())],
+                    [b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(np.full(hi - lo, part, np.int32)), pa.array(starts[lo:hi], pa.int64()), pa.array(n[lo:hi]), ids],
                     names=["doc_id", "queue", "part", "start", "n", "ids"],
                 )
 
     slim = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(source_col).cast("string"))
-    return slim.mapInArrow(run, TOKEN_SCHEMA)
-
+    return map_arrow(slim, run, TOKEN_SCHEMA)
 
-def _small(ids: bytes) -> bool:
-    """Two bytes an id if all ids fit; n tells the width when read again."""
-    return len(ids) == 0 or int(np.frombuffer(ids, "<u4").max()) < 1 << 16
 
+def _slices(ends: np.ndarray, most: int = 1 << 22):
+    """Runs (lo, hi) of rows of about ``most`` bytes at most, one row at least."""
+    lo, n = 0, len(ends) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+        yield lo, min(hi, n)
+        lo = min(hi, n)
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
 
+# -- rounds -----------------------------------------------------------------------
+def credit(queue: Column, held: Column, most: int) -> Column:
+    """What a queue has before its first round: by its hash, less than a run and than all it holds.
 
-# -- the schedule -----------------------------------------------------------------
-class Schedule:
-    """Where each queue's tokens go. Only queue totals and weights are needed.
-
-    A phase has a first window, a number of windows and what each queue gave before. In
-    it, queues with less than about one token a window (small ones) have given
-    floor(k * length * w / W) after k windows, and the others share the rest by the floors
-    of running weights; both never fall as k grows, and no deficit reaches two tokens. A
-    phase of one window may have explicit counts instead, when some queue runs out in it.
+    Without it, sources of one document or two would all come due in the last round.
     """
+    return F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("="), queue), F.lit("-"))), F.least(held, F.lit(most).cast("long")))
 
-    def __init__(self, totals: list[int], weights: list[int] | None = None, length: int = LENGTH):
-        if 4 * len(totals) > max(length, 4 * 8):
-            raise ValueError("a window needs four tokens a queue at least")
-        self.totals, self.length = totals, length
-        weights = list(totals) if weights is None else weights
-        given, window = [0] * len(totals), 0
-        self.phases: list[_Phase] = []
-        while True:
-            left = [t - g for t, g in zip(totals, given, strict=True)]
-            if not any(left):
-                break
-            w = [x if r > 0 else 0 for x, r in zip(weights, left, strict=True)]
-            if not any(w):  # only queues without weight are left: they share by what they hold
-                w = left
-            phase = _Phase(window, given, w, length)
-            phase.windows = phase.most_windows(left)
-            if not phase.windows:
-                phase = _Phase(window, given, w, length, self._one_window(left, w))
-            self.phases.append(phase)
-            given = [g + phase.count(j, phase.windows) for j, g in enumerate(given)]
-            window += phase.windows
-        self.windows = window
-        #: per queue: the number given at the start of each phase
-        self.marks = [[p.given[j] for p in self.phases] for j in range(len(totals))]
-
-    def _one_window(self, left: list[int], weights: list[int]) -> list[int]:
-        """Rounds of quanta until the window is full or all queues are empty."""
-        share, room = [0] * len(left), min(self.length, sum(left))
-        while room:
-            live = [j for j, r in enumerate(left) if r > share[j] and weights[j]] or [j for j, r in enumerate(left) if r > share[j]]
-            whole = sum(weights[j] for j in live) or len(live)
-            now = room
-            for j in live:
-                take = min(left[j] - share[j], room, max(1, now * (weights[j] or 1) // whole))
-                share[j] += take
-                room -= take
-        return share
-
-    def pieces(self, queue: int, start: int, n: int):
-        """(start in the document, length, window, offset) of n tokens from ``start`` of a queue."""
-        done = 0
-        while done < n:
-            t = start + done
-            phase = self.phases[bisect_right(self.marks[queue], t) - 1]
-            t -= phase.given[queue]
-            k = phase.window_of(queue, t)
-            before, after = phase.count(queue, k), phase.count(queue, k + 1)
-            take = min(n - done, after - t)
-            yield done, take, phase.first + k, phase.offset(queue, k) + t - before
-            done += take
-
-
-class _Phase:
-    def __init__(self, first: int, given: list[int], weights: list[int], length: int, share: list[int] | None = None):
-        self.first, self.given, self.length, self.share = first, list(given), length, share
-        self.windows = 1
-        self.weights, self.whole = weights, sum(weights)
-        room = length - len(weights)
-        self.small = [j for j, w in enumerate(weights) if 0 < w and w * room < self.whole]
-        is_small = set(self.small)
-        self.run = [0, *accumulate(0 if j in is_small else w for j, w in enumerate(weights))]
-        self.is_small, self.sums = is_small, {}
-
-    def small_total(self, k: int) -> int:
-        found = self.sums.get(k)
-        if found is None:
-            if len(self.sums) > 10_000:
-                self.sums.clear()
-            found = self.sums[k] = sum(k * self.length * self.weights[j] // self.whole for j in self.small)
-        return found
-
-    def count(self, queue: int, k: int) -> int:
-        """Tokens that the queue has given after k windows of the phase."""
-        if self.share is not None:
-            return self.share[queue] if k else 0
-        if queue in self.is_small:
-            return k * self.length * self.weights[queue] // self.whole
-        rest = k * self.length - (self.small_total(k) if self.small else 0)
-        return rest * self.run[queue + 1] // self.run[-1] - rest * self.run[queue] // self.run[-1]
-
-    def offset(self, queue: int, k: int) -> int:
-        """Where the queue's tokens begin in window k: small queues come last."""
-        if self.share is not None:
-            return sum(self.share[:queue])
-        now, then = (n * self.length - (self.small_total(n) if self.small else 0) for n in (k, k + 1))
-        if queue not in self.is_small:
-            return then * self.run[queue] // self.run[-1] - now * self.run[queue] // self.run[-1]
-        return then - now + sum(self.count(j, k + 1) - self.count(j, k) for j in self.small if j < queue)
-
-    def window_of(self, queue: int, t: int) -> int:
-        """The window that holds the queue's token t of the phase."""
-        if self.share is not None:
-            return 0
-        k = max(0, min(self.windows - 1, t * self.whole // (self.weights[queue] * self.length)))
-        while k and self.count(queue, k) > t:
-            k -= 1
-        while self.count(queue, k + 1) <= t:
-            k += 1
-        return k
-
-    def most_windows(self, left: list[int]) -> int:
-        """As many windows as all queues can fill."""
-        low, high = 0, sum(left) // self.length
-        while low < high:
-            mid = (low + high + 1) // 2
-            if all(self.count(j, mid) <= r for j, r in enumerate(left)):
-                low = mid
-            else:
-                high = mid - 1
-        return low
 
+def queue_table(parts: DataFrame, weights: dict[str, int] | None, most: int) -> DataFrame:
+    """(queue, held, tier, weight, credit): sources with a given weight first, the others by what they hold."""
+    queues = parts.groupBy("queue").agg(F.sum("held").alias("held"))
+    given = parts.sparkSession.createDataFrame([(k, int(v)) for k, v in (weights or {}).items() if v > 0], "name string, given long")
+    queues = queues.join(F.broadcast(given), F.col("queue") == F.col("name"), "left")  # as large as the caller's own argument
+    return queues.select("queue", "held", F.when(F.col("given").isNull(), 1).otherwise(0).cast("long").alias("tier"), F.coalesce("given", "held").alias("weight"), credit(F.col("queue"), F.col("held"), most).alias("credit"))
 
-# -- small sources ----------------------------------------------------------------
-def pool_paths(sources: DataFrame) -> DataFrame:
-    """(pq, rank, path) of the sources (queue, own, n) that share one queue.
 
-    They are the leaves of a binary tree, split by the bits of their rank by size, lowest
-    first, so that both sides of a node hold about as much. ``path``: the tokens under each
-    node from the root to the leaf.
-    """
-    from pyspark.sql import Window
+def schedule(tokens: DataFrame, weights: dict[str, int] | None, length: int, most: int) -> DataFrame | None:
+    """The runs of all documents: (doc_id, queue, n, ids, at, size, stop, due, slot); None without rows.
 
-    ranked = materialize(sources.select(F.col("queue").alias("pq"), "n", (F.row_number().over(Window.orderBy(F.desc("n"), "own")) - 1).cast("long").alias("rank")), "pack-small")
-    depth = max(0, ranked.count() - 1).bit_length()
-    nodes = ranked.select("rank", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("b")).withColumn("node", F.expr("rank % shiftleft(1L, b)"))
-    sums = nodes.groupBy("b", "node").agg(F.sum("n").alias("held"))
-    path = nodes.join(sums, ["b", "node"]).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("b", "held")))["held"].alias("path"))
-    return ranked.join(path, "rank").select("pq", "rank", "path")
-
-
-def pool_places(start: int, n: int, rank: int, path: list[int]) -> np.ndarray:
-    """Where n tokens of a small source, from its token ``start``, stand in the shared queue.
-
-    Of a node's first x tokens floor(x * left / all) are the left child's, the others the
-    right one's; from leaf to root this gives each token its own place.
+    ``stop`` is the run's end in its queue and ``due`` its round, exact in decimals of 38
+    digits; ``slot`` is its block of rounds, those of weighted sources first.
     """
-    t = np.arange(start, start + n).astype(np.int64 if path[0] < 1 << 31 else object)
-    for b in range(len(path) - 2, -1, -1):
-        t = t * path[b] // path[b + 1] if rank >> b & 1 else -(-(t + 1) * path[b] // path[b + 1]) - 1
-    return t.astype(np.int64)
-
-
-def _pieces(schedule: Schedule, queue: int, start: int, n: int, rank: int | None, path: list[int] | None):
-    if path is None:
-        yield from schedule.pieces(queue, start, n)
-        return
-    places = pool_places(start, n, rank, path)
-    cuts = [0, *(np.flatnonzero(np.diff(places) != 1) + 1).tolist(), n]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        for at, size, window, offset in schedule.pieces(queue, int(places[lo]), hi - lo):
-            yield lo + at, size, window, offset
+    parts = materialize(tokens.groupBy("queue", "part").agg(F.sum("n").alias("held")), "pack-parts")
+    queues = materialize(queue_table(parts, weights, most), "pack-queues")
+    sums = {r["tier"]: r["w"] for r in queues.groupBy("tier").agg(F.sum("weight").alias("w")).collect()}  # two rows at most
+    if not sums:
+        return None
+    w = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("queue").alias("bq"), F.col("part").alias("bp"), F.coalesce(F.sum("held").over(w), F.lit(0)).alias("before"))
+    places = before.join(queues.withColumnRenamed("queue", "qq"), F.col("bq").eqNullSafe(F.col("qq"))).drop("qq", "held")
+    places = materialize(places, "pack-places")
+    runs = tokens.join(places, F.col("queue").eqNullSafe(F.col("bq")) & (F.col("part") == F.col("bp")))
+    runs = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))).alias("at"))
+    runs = runs.withColumn("size", F.least(F.lit(most).cast("long"), F.col("n") - F.col("at")))
+    runs = runs.withColumns({"stop": F.expr("before + start + at + size"), "whole": F.when(F.col("tier") == 0, F.lit(sums.get(0, 0))).otherwise(F.lit(sums.get(1, 0)))})
+    # the first round whose quanta, length * weight / whole each, cover the queue up to the run's end
+    quantum = f"(cast({length} as decimal(10,0)) * cast(weight as decimal(19,0)))"
+    need = "(cast(stop - credit as decimal(19,0)) * cast(whole as decimal(19,0)))"
+    runs = runs.withColumn("due", F.expr(f"greatest(1L, ({need} + {quantum} - 1) div {quantum})"))
+    return runs.withColumn("slot", F.expr(f"tier * {1 << 61} + due div {ROUNDS_A_BLOCK}"))
+
+
+def slot_starts(runs: DataFrame) -> DataFrame:
+    """(s, begin): where each block of rounds begins in the stream."""
+    blocks = materialize(runs.groupBy("slot").agg(F.sum("size").alias("b")).withColumn("g", F.expr(f"slot div {BLOCKS_A_GROUP}")), "pack-blocks")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    # one row for thousands of blocks, each of about half a million tokens
+    groups = blocks.groupBy("g").agg(F.sum("b").alias("b")).select(F.col("g").alias("gg"), F.coalesce(F.sum("b").over(before.orderBy("g")), F.lit(0)).alias("base"))
+    inner = blocks.select("slot", "g", F.coalesce(F.sum("b").over(before.partitionBy("g").orderBy("slot")), F.lit(0)).alias("own"))
+    return materialize(inner.join(groups, F.col("g") == F.col("gg")).select(F.col("slot").alias("s"), (F.col("base") + F.col("own")).alias("begin")), "pack-starts")
 
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, int] | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = True, end_id: int = END_ID) -> DataFrame:
+def _place(length: int, with_ids: bool):
+    """Runs in the order of the stream to pieces; holds one batch and where the stream stands."""
+
+    def run(batches):
+        stands, last = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, size, slot, begin = (b.column(i).to_numpy() for i in (2, 3, 4, 5))
+            new = np.concatenate(([slot[0] != last], slot[1:] != slot[:-1]))
+            before = np.cumsum(size) - size
+            firsts = np.flatnonzero(new)
+            place = before + np.concatenate(([stands], begin[firsts] - before[firsts]))[np.cumsum(new)]
+            stands, last = int(place[-1] + size[-1]), slot[-1]
+            cuts = (place + size - 1) // length - place // length + 1
+            row = np.repeat(np.arange(len(size)), cuts)
+            window = place[row] // length + np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            lo, hi = np.maximum(place[row], window * length), np.minimum(place[row] + size[row], (window + 1) * length)
+            raw = b"".join(b.column(6).to_pylist())
+            flat = np.frombuffer(raw, "<u2" if len(raw) == 2 * size.sum() else "<u4").astype("<u4")
+            where = before[row] + lo - place[row]
+            view = memoryview(flat.tobytes())
+            sums = [zlib.crc32(view[a:z]) for a, z in zip((4 * where).tolist(), (4 * (where + hi - lo)).tolist(), strict=True)]
+            pick = pa.array(row)
+            cols = [b.column(0).take(pick), pa.array(at[row] + lo - place[row]), pa.array(hi - lo), pa.array(sums, pa.int64()), b.column(1).take(pick), pa.array(window), pa.array(lo - window * length)]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            if with_ids:  # the pieces lie in the batch as they do in the runs
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(where, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
+
+
+def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, int] | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = True, end_id: int = END_ID, most: int | None = None) -> DataFrame:
     """One row per piece: its document, its place there, its sequence and its offset.
 
-    ``weights`` are the sources' target proportions (integers; a source without one comes
-    last, when only such are left); without weights each window has the corpus's own
-    proportions, so all queues end together. Null text: the end id alone. Null sources
-    form a queue of their own, null ids stay null, repeated rows are documents of their
-    own, other columns aren't read, an empty table gives no rows. Only the last sequence
-    can be short. Documents are tokenized once, in a narrow pass into the shared folder;
-    queue offsets are sums per source and task; no text is shuffled, and a source of any
-    size is spread over all tasks that read it. Beyond ``MAX_QUEUES`` sources, the largest
-    keep queues of their own and the small ones are interleaved token by token in one
-    shared queue by a tree of their sizes, so proportions hold for every source and the
-    schedule that goes to the tasks has a fixed bound. That cuts small sources into pieces
-    of few tokens.
+    ``weights`` are the sources' target proportions (integers); a source without one comes
+    when only such are left, by what it holds. Without weights each window has the corpus's
+    own proportions, the only target that holds to the last window if every token is to be
+    packed. A queue that runs out is skipped, and the others share its room. ``most`` (a
+    quarter of ``length`` by default) bounds what a queue sends at once: documents up to it
+    are cut by a window's end alone, and no source is further than about ``most`` tokens
+    from its target after any number of windows.
+
+    Null text: the end id alone. Null sources form a queue of their own, null ids stay null,
+    repeated rows are documents of their own, other columns aren't read, an empty table
+    gives no rows. Only the last sequence can be short. Documents are tokenized once, in a
+    narrow pass into the shared folder; only their ids are shuffled, once, by blocks of
+    rounds, which hold about equal numbers of tokens whatever the sources' sizes and number.
+    No table of sources goes to the driver or has to fit a task.
     """
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, tokenizer_path, id_col, text_col, source_col, end_id), "pack-tokens")
-    most = max(1, min(MAX_QUEUES, length // 8))
-    if weights and len(weights) > most:
-        raise ValueError(f"weights for more than {most} sources")
-    own = F.coalesce(F.concat(F.lit("="), F.col("queue")), F.lit("-"))
-    sources = tokens.groupBy("queue").agg(F.sum("n").alias("n")).withColumn("own", own)
-    named, paths = own, None
-    if sources.count() > most:
-        given = [f"={k}" for k in weights or {}]
-        others = sources.where(~F.col("own").isin(given)).orderBy(F.desc("n"), "own").limit(most - 1)
-        big = given + [r["own"] for r in others.select("own").collect()]
-        named = F.when(own.isin(big), own).otherwise(F.lit("#"))
-        paths = materialize(pool_paths(sources.where(~F.col("own").isin(big))), "pack-paths")
-    weights = {f"={k}": v for k, v in weights.items()} if weights else None
-    # a block is what one task holds of one source
-    blocks = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")).withColumn("q", named)
-    blocks = materialize(blocks, "pack-blocks")
-    totals = {r["q"]: r["n"] for r in blocks.groupBy("q").agg(F.sum("n").alias("n")).collect()}  # at most twice MAX_QUEUES rows
-    names = sorted(totals)
-    if not names:
-        return spark.createDataFrame([], PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
-    plan = spark.sparkContext.broadcast(json.dumps({"names": names, "totals": [totals[q] for q in names], "weights": [int((weights or {}).get(q, 0)) for q in names] if weights else None, "length": length}))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("q", "queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select(F.col("queue").alias("bq"), F.col("part").alias("bp"), "q", "before")
-    if paths is None:
-        before = before.withColumns({"rank": F.lit(0).cast("long"), "path": F.lit(None).cast("array<long>")})
-    else:
-        before = before.join(paths, F.col("bq").eqNullSafe(F.col("pq")), "left").drop("pq")
-    before = materialize(before, "pack-before")
-    placed = tokens.join(before, F.col("queue").eqNullSafe(F.col("bq")) & (F.col("part") == F.col("bp")))
-    placed = placed.select("doc_id", "q", (F.col("before") + F.col("start")).alias("start"), "n", "ids", "rank", "path")
+    if length < 1 or (most is not None and most < 1):
+        raise ValueError("a window and a run need a token at least")
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
-
-    def run(batches):
-        spec = json.loads(plan.value)
-        schedule = Schedule(spec["totals"], spec["weights"], spec["length"])
-        number = {q: j for j, q in enumerate(spec["names"])}
-        for batch in batches:
-            for b in slices(batch, 1000):
-                rows = []
-                for doc, q, start, n, raw, rank, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    ids = _wide(raw, n)
-                    view = memoryview(ids.tobytes())
-                    for at, size, window, offset in _pieces(schedule, number[q], start, n, rank, path):
-                        rows.append((doc, at, size, zlib.crc32(view[4 * at : 4 * (at + size)]), n, window, offset) + ((ids[at : at + size].astype(np.int32),) if with_ids else ()))
-                yield _batch(rows, arrow)
-
-    arrow = pa.schema([(f.name, pa.list_(pa.int32()) if isinstance(f.dataType, T.ArrayType) else pa.int64()) for f in T._parse_datatype_string(schema).fields])
-    return placed.mapInArrow(run, schema)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+    tokens = materialize(tokenize(docs, tokenizer_path, id_col, text_col, source_col, end_id), "pack-tokens")
+    runs = schedule(tokens, weights, length, most or max(1, length // 4))
+    if runs is None:
+        return spark.createDataFrame([], schema)
+    starts = slot_starts(runs)
+    width = F.expr("cast(length(ids) div n as int)")
+    ids = F.substr("ids", F.col("at").cast("int") * width + 1, F.col("size").cast("int") * width)
+    placed = runs.select("doc_id", "n", "at", "size", "slot", "due", "queue", "stop", ids.alias("ids")).repartition("slot")
+    placed = placed.join(starts, F.col("slot") == F.col("s")).sortWithinPartitions("slot", "due", "queue", "stop")
+    return map_arrow(placed.select("doc_id", "n", "at", "size", "slot", "begin", "ids"), _place(length, with_ids), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

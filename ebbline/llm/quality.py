@@ -11,18 +11,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import ChunkTable, fresh, materialize, slices, word_blocks
+from ebbline.llm.common import ChunkTable, fresh, map_arrow, materialize, slices, word_blocks, worker_keeps
 
 #: Labelled rows that the classifier is fitted on, by hash of the id.
 MAX_LABELLED = 20_000
-#: A document's odds may move by this factor at most through its groups, either way.
-MAX_GROUP_LOGIT = 2.0
 
 _CHUNK = ("chars", "letters", "upper", "digits", "symbols", "shouted", "noisy_end", "single_symbol", "short", "long", "chunks")
 FEATURES = ("upper_share", "digit_share", "symbol_share", "shouted_share", "noisy_share", "lone_symbol_share", "short_share", "long_share", "mean_length", "log_chunks", "distinct_share", "top_share", "line_repeats", "bare_line_ends")
@@ -43,12 +42,12 @@ def _chunk_features(chunks: list[str]) -> np.ndarray:
 def document_features(texts, table: ChunkTable) -> np.ndarray:
     """One row of ``FEATURES`` per whole text; zeros for null and blank texts."""
     sums = np.zeros((len(texts), len(_CHUNK)))
-    distinct, top = np.zeros(len(texts)), np.zeros(len(texts))
+    distinct, top, entries = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     for owner, length, words in word_blocks(texts):
         at = table.at(words)
         starts = np.concatenate(([0], np.cumsum(length)[:-1]))
         np.add.at(sums, owner, np.add.reduceat(table.rows[at].astype(np.float64), starts, axis=0))
-        # repeats inside each block of a text
+        # repeats inside a text; of a text in several blocks, they are counted below
         which = np.repeat(np.arange(len(owner)), length)
         pair, n = np.unique(which * (1 << 32) + at, return_counts=True)
         which = pair >> 32
@@ -56,6 +55,10 @@ def document_features(texts, table: ChunkTable) -> np.ndarray:
         most = np.zeros(len(owner))
         np.maximum.at(most, which, n)
         np.add.at(top, owner, most)
+        entries += np.bincount(owner, minlength=len(texts))
+    for i in np.flatnonzero(entries > 1).tolist():
+        found = Counter(texts[i].split())
+        distinct[i], top[i] = len(found), max(found.values())
     lines, bare = np.zeros(len(texts)), np.zeros(len(texts))
     for i, text in enumerate(texts):
         if text and "\n" in text:
@@ -70,7 +73,7 @@ def document_features(texts, table: ChunkTable) -> np.ndarray:
 
 
 def feature_table() -> ChunkTable:
-    return ChunkTable(_chunk_features, len(_CHUNK))
+    return worker_keeps("quality", lambda: ChunkTable(_chunk_features, len(_CHUNK)))
 
 
 class Logistic:
@@ -130,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x = document_features(b.column(0).to_pylist(), table)
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = pairs.select("t", "y").mapInArrow(run, "y int, x array<double>").toPandas()
+    rows = map_arrow(pairs.select("t", "y"), run, "y int, x array<double>").toPandas()
     y = rows["y"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -141,18 +144,19 @@ def with_evidence(docs: DataFrame, model: Logistic | None, text_col: str = "text
     """Columns ``keep`` (all by default) and the document's own probability; 0.5 without a model."""
     keep = [c for c in (keep or docs.columns) if c.lower() != name.lower()]
     data = docs.sparkSession.sparkContext.broadcast(model.dump() if model else "")
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    t = fresh(docs, stem="text")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(t))
 
     def run(batches):
         m = Logistic.load(data.value) if data.value else None
         table = feature_table()
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, 500):
                 texts = b.column(b.num_columns - 1).to_pylist()
                 p = m.proba(document_features(texts, table)) if m else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*keep, name])
 
-    return kept.mapInArrow(run, kept.drop("__text").schema.add(name, "double"))
+    return map_arrow(kept, run, kept.drop(t).schema.add(name, "double"))
 
 
 def _logit(p: Column) -> Column:
@@ -175,8 +179,8 @@ def _strength(groups: DataFrame, prior: Column, n: str = "n", mean: str = "m") -
     return float(min(max(pq / spread - 1, 1.0), 1e4)) if spread > 1e-9 else 1e4
 
 
-def group_posteriors(evidence: DataFrame, host: list[Column], path: list[Column], p: str = "evidence") -> tuple[DataFrame, float]:
-    """(h, p, host_posterior, path_posterior, path_n) per path, and the global prior.
+def group_sums(evidence: DataFrame, host: list[Column], path: list[Column], p: str = "evidence") -> tuple[DataFrame, dict[str, float]]:
+    """(h, p, n, s, hn, hs) per path, with its host's sums, and the estimates prior, k_host and k_path.
 
     Every row counts. Groups are sums, partially aggregated, so a group of any size costs
     one row per task.
@@ -189,42 +193,57 @@ def group_posteriors(evidence: DataFrame, host: list[Column], path: list[Column]
     prior = float(total[1] / total[0]) if total[0] else 0.5
     mean, var = F.col("s") / F.col("n"), F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2)
     hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    hosts = hosts.withColumns({"m": mean, "v": var})
-    k_host = _strength(hosts, F.lit(prior))
-    hosts = hosts.select("h", ((F.col("s") + k_host * prior) / (F.col("n") + k_host)).alias("host_posterior"))
-    paths = materialize(paths.join(hosts, "h"), "quality-hosts")
-    k_path = _strength(paths.withColumns({"m": mean, "v": var}), F.col("host_posterior"))
-    post = (F.col("s") + k_path * F.col("host_posterior")) / (F.col("n") + k_path)
-    return materialize(paths.select("h", "p", "host_posterior", post.alias("path_posterior"), F.col("n").alias("path_n")), "quality-posteriors"), prior
+    k_host = _strength(hosts.withColumns({"m": mean, "v": var}), F.lit(prior))
+    paths = materialize(paths.join(hosts.select("h", F.col("n").alias("hn"), F.col("s").alias("hs")), "h"), "quality-hosts")
+    k_path = _strength(paths.withColumns({"m": mean, "v": var}), (F.col("hs") + k_host * prior) / (F.col("hn") + k_host))
+    return paths.drop("q"), {"prior": prior, "k_host": k_host, "k_path": k_path}
 
 
-def classify(docs: DataFrame, model: Logistic | None, host_cols: tuple[str, ...] = ("source",), path_cols: tuple[str, ...] = ("lang",), text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Columns ``keep`` (all by default) and evidence, host_posterior, path_posterior, quality_score, accepted.
+def _scored(docs: DataFrame, model: Logistic | None, host_cols: tuple[str, ...], path_cols: tuple[str, ...], text_col: str, keep: list[str], names: list[str]) -> DataFrame:
+    """Columns ``keep`` and evidence, host and path posterior and score under ``names``.
 
-    Null hosts and paths are groups of their own. Null and blank texts carry nothing and
-    are rejected. Repeated rows count and come out repeatedly; input columns of the new
-    names give way; an empty table gives no rows. Texts are read twice in narrow passes
-    and never shuffled; only one row per path is, and the optimizer broadcasts those rows
-    while they are under its threshold and otherwise splits hot hosts.
+    A document's own evidence is left out of its groups' posteriors, or sparse groups would
+    count it twice. Texts are read once; what is kept is stored with the evidence.
     """
-    new = ["evidence", "host_posterior", "path_posterior", "quality_score", "accepted"]
-    keep = [c for c in (keep or docs.columns) if c.lower() not in new]
     x = fresh(docs)
     groups = {f"{x}h{i}": F.col(f"`{c}`") for i, c in enumerate(host_cols)} | {f"{x}p{i}": F.col(f"`{c}`") for i, c in enumerate(path_cols)}
     host = [F.col(f"{x}h{i}").alias(f"c{i}") for i in range(len(host_cols))]
     path = [F.col(f"{x}p{i}").alias(f"c{i}") for i in range(len(path_cols))]
-    slim = docs.select(F.col(f"`{text_col}`").alias(f"{x}t"), *[c.alias(k) for k, c in groups.items()])
-    first = materialize(with_evidence(slim, model, f"{x}t", list(groups)), "quality-evidence")
-    posteriors, prior = group_posteriors(first, host, path)
-    posteriors = posteriors.select(*[F.col(f"h.c{i}").alias(f"{x}gh{i}") for i in range(len(host))], *[F.col(f"p.c{i}").alias(f"{x}gp{i}") for i in range(len(path))], "host_posterior", "path_posterior")
-    scored = with_evidence(docs.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(k) for k, c in groups.items()], F.col(f"`{text_col}`").alias(f"{x}t")), model, f"{x}t", [*keep, *groups])
+    wide = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])], *[c.alias(k) for k, c in groups.items()])
+    first = materialize(with_evidence(wide, model, text_col, [*keep, *groups], f"{x}e"), "quality-evidence")
+    sums, est = group_sums(first, host, path, f"{x}e")
+    side = sums.select(*[F.col(f"h.c{i}").alias(f"{x}gh{i}") for i in range(len(host))], *[F.col(f"p.c{i}").alias(f"{x}gp{i}") for i in range(len(path))], F.struct("n", "s", "hn", "hs").alias(f"{x}g"))
     on = [F.col(f"{x}h{i}").eqNullSafe(F.col(f"{x}gh{i}")) for i in range(len(host))] + [F.col(f"{x}p{i}").eqNullSafe(F.col(f"{x}gp{i}")) for i in range(len(path))]
-    joined = scored.join(posteriors, on, "left")
-    shift = _logit(F.col("path_posterior")) - F.lit(float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    shift = F.least(F.greatest(shift, F.lit(-MAX_GROUP_LOGIT)), F.lit(MAX_GROUP_LOGIT))
-    score = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + shift)))
-    out = joined.withColumn("quality_score", score)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "evidence", "host_posterior", "path_posterior", "quality_score", (F.col("quality_score") >= threshold).alias("accepted"))
+    joined = first.join(side, on, "left")
+    # one struct, so that no column of the input can clash with a sum's name
+    own = F.struct(F.col(f"{x}e").alias("e"), *[F.col(f"{x}g.{c}").alias(c) for c in ("n", "s", "hn", "hs")])
+    host_post = (own["hs"] - own["e"] + est["k_host"] * est["prior"]) / (own["hn"] - 1 + est["k_host"])
+    path_post = (own["s"] - own["e"] + est["k_path"] * host_post) / (own["n"] - 1 + est["k_path"])
+    shift = _logit(path_post) - F.lit(float(np.log(max(est["prior"], 1e-6) / max(1 - est["prior"], 1e-6))))
+    score = 1 / (1 + F.exp(-(_logit(F.col(f"{x}e")) + shift)))
+    return joined.select(*[F.col(f"`{c}`") for c in keep], F.col(f"{x}e").alias(names[0]), host_post.alias(names[1]), path_post.alias(names[2]), score.alias(names[3]))
+
+
+def classify(docs: DataFrame, model: Logistic | None, host_cols: tuple[str, ...] = ("source",), path_cols: tuple[str, ...] = ("lang",), text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """Columns ``keep`` (all by default) and evidence, host_posterior, path_posterior, quality_score, accepted.
+
+    Null hosts and paths are groups of their own. Null and blank texts carry nothing and
+    are rejected. Repeated rows count and come out repeatedly; input columns of the new
+    names give way; an empty table gives no rows. Texts are read once in a narrow pass and
+    never shuffled; only one row per path is, and the optimizer broadcasts those rows while
+    they are under its threshold and otherwise splits hot hosts.
+    """
+    new = ["evidence", "host_posterior", "path_posterior", "quality_score"]
+    keep = [c for c in (keep or docs.columns) if c.lower() not in [*new, "accepted"]]
+    out = _scored(docs, model, host_cols, path_cols, text_col, keep, new)
+    return out.withColumn("accepted", F.col("quality_score") >= threshold)
+
+
+def accepted(docs: DataFrame, model: Logistic | None, host_cols: tuple[str, ...] = ("source",), path_cols: tuple[str, ...] = ("lang",), text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The accepted rows of ``docs`` with all their columns as they are."""
+    p = fresh(docs, stem="q")
+    out = _scored(docs, model, host_cols, path_cols, text_col, docs.columns, [f"{p}{x}" for x in "ehps"])
+    return out.where(F.col(f"{p}s") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

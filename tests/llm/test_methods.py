@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,7 @@ from ebbline.llm import additive_ann, hilbert_shards, html_extract, language_id,
 from ebbline.llm.bpe import ChunkCache, PrefixBPE, encode_text
 from ebbline.llm.components import connected_components
 from ebbline.llm.jaccard_join import JaccardJoin, SizePlan, bitmap, jaccard_components
-from ebbline.llm.packing import Schedule, token_bytes
+from ebbline.llm.packing import LENGTH, credit, pack, token_bytes
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +28,7 @@ def odd_texts():
     rnd = random.Random(5)
     letters = "abcdefgh 'll 's ' <|endoftext|> Σ ΣΑ İ ß ﬁ é e\u0301 \x1c \u2003 日本 ١ ² _-. \t\n"
     out = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(800)]
+    out += ["don't we're I'LL o'clock 's 'sx 'llx ''s !'s x'\n's", "'", "'re", "'r", "l'été «ça» – “oui” 3€ 12½", "İx", "", "a'S'T", "ÀÉ ×÷ ß ſ", "\x00\x1b\x7f\xa0\x85x", "🙂 a<|b"]
     return out + [" ".join("".join(rnd.choice("aeinotshrl") for _ in range(rnd.randint(1, 14))) for _ in range(15)) for _ in range(300)] + ["a" * 3000, "ab" * 900]
 
 
@@ -41,55 +43,62 @@ def test_bpe_equals_the_library():
         assert told == library.decode(want, skip_special_tokens=False)
 
 
-def test_schedule_keeps_proportions_and_covers():
-    for totals, weights in (([1000, 377, 1, 90], None), ([500, 500, 30], [1, 5, 2]), ([100, 40], [0, 1]), ([0, 64], None), ([5], None), ([8774, 22, 60009, 3, 40], None), ([900, 900, 9000], [1, 1, 500])):
-        s = Schedule(totals, weights, 64)
-        seats = collections.defaultdict(set)
-        share = collections.defaultdict(lambda: [0] * len(totals))
-        for q, n in enumerate(totals):
-            at = 0
-            for size in (n // 3, n - n // 3):
-                done = 0
-                for start, take, window, offset in s.pieces(q, at, size):
-                    assert start == done and take > 0
-                    done += take
-                    share[window][q] += take
-                    span = set(range(offset, offset + take))
-                    assert not span & seats[window]
-                    seats[window] |= span
-                assert done == size
-                at += size
-        full = -(-sum(totals) // 64)
-        assert sorted(seats) == list(range(full)) and all(len(seats[k]) == 64 for k in range(full - 1))
-        assert all(seats[k] == set(range(len(seats[k]))) for k in seats)
-        if weights is None and full > 1:
-            for k in range(full - 1):  # deficits stay under one token
-                assert all(abs(c - 64 * t / sum(totals)) < 2 for c, t in zip(share[k], totals, strict=True))
-
-
-def test_packing_keeps_proportions_of_many_sources(spark):
-    from ebbline.llm.packing import pack
-
+def plain_round_robin(queues, held, given, credits, weights, length, most):
+    """(document, start, size) one after another, by loops and deficits."""
+    out = []
+    for tier in (0, 1):
+        live = {q: [(d, at, min(most, n - at)) for d, n in docs for at in range(0, n, most)] for q, docs in queues.items() if (q in given) == (tier == 0)}
+        whole = sum(weights[q] for q in live)
+        deficit = {q: Fraction(credits[q]) for q in live}
+        while any(live.values()):
+            for q in sorted(live, key=lambda x: (x is not None, x)):
+                deficit[q] += Fraction(length * weights[q], whole)
+                while live[q] and live[q][0][2] <= deficit[q]:
+                    deficit[q] -= live[q][0][2]
+                    out.append(live[q].pop(0))
+    return out
+
+
+@pytest.mark.parametrize(("weights", "most"), [(None, 16), (None, 1000), ({"hot": 5, "s1": 3, "s2": 3, "gone": 4}, 16)])
+def test_packing_equals_a_plain_deficit_round_robin(spark, weights, most):
     rnd = random.Random(6)
-    rows = [(i, " ".join(rnd.choice(("red", "tree", "house")) for _ in range(20)), "hot" if i % 3 == 0 else f"s{i % 37}") for i in range(600)]
-    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), PATH, length=64).collect()
-    source, seats = {i: s for i, _, s in rows}, collections.defaultdict(set)
-    share, docs = collections.defaultdict(collections.Counter), collections.defaultdict(list)
-    for r in got:
-        span = set(range(r["offset"], r["offset"] + r["length"]))
-        assert not span & seats[r["sequence_id"]]
-        seats[r["sequence_id"]] |= span
-        share[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
-        docs[r["doc_id"]] += range(r["start"], r["start"] + r["length"])
-        docs[r["doc_id"], "n"] = [r["doc_tokens"]]
-    assert all(sorted(docs[i]) == list(range(docs[i, "n"][0])) for i in source)
-    totals = sum(share.values(), collections.Counter())
-    whole, run = sum(totals.values()), collections.Counter()
-    assert sorted(seats) == list(range(-(-whole // 64)))
-    for k in range(whole // 64):
-        assert seats[k] == set(range(64))
-        run.update(share[k])
-        assert all(abs(run[s] - 64 * (k + 1) * totals[s] / whole) < 5 for s in totals)
+    rows = [(i, " ".join(rnd.choice(("red", "tree", "house")) for _ in range(rnd.choice([0, 1, 5, 20, 90]))), None if i % 50 == 7 else "hot" if i % 3 == 0 else f"s{i % 37}") for i in range(400)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), PATH, weights, 64, most=most).collect()
+    n = {r["doc_id"]: r["doc_tokens"] for r in got}
+    queues, source = collections.defaultdict(list), {i: s for i, _, s in rows}
+    for i, _, s in rows:
+        queues[s].append((i, n[i]))
+    held = {q: sum(k for _, k in docs) for q, docs in queues.items()}
+    given = {q for q in queues if q in (weights or {})}
+    credits = {r[0]: r[1] for r in spark.createDataFrame(list(held.items()), "q string, held long").select("q", credit(F.col("q"), F.col("held"), most)).collect()}
+    want = plain_round_robin(queues, held, given, credits, {q: weights[q] if q in given else held[q] for q in queues}, 64, most)
+    cut, at = [], 0
+    for d, start, size in want:
+        while size:
+            take = min(size, 64 - at % 64)
+            cut.append((at // 64, at % 64, d, start, take))
+            at, start, size = at + take, start + take, size - take
+    assert sorted((r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"]) for r in got) == cut
+    if weights is None:  # every window so far has its sources' shares
+        run, whole = collections.Counter(), sum(held.values())
+        by = collections.defaultdict(list)
+        for k, _, d, _, size in cut:
+            by[k].append((source[d], size))
+        for k in sorted(by)[:-1]:
+            for s, size in by[k]:
+                run[s] += size
+            assert all(abs(run[s] - 64 * (k + 1) * held[s] / whole) <= 2 * most + 64 for s in held)
+
+
+def test_packing_in_many_tasks_covers_every_token_once(spark):
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choice(("red", "tree", "house")) for _ in range(30)), f"s{min(int(rnd.expovariate(0.02)), 400)}") for i in range(1500)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), PATH, length=128, with_ids=False).collect()
+    seats = collections.Counter((r["sequence_id"], r["offset"] + k) for r in got for k in range(r["length"]))
+    total = sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+    assert set(seats.values()) == {1} and sorted(seats) == [(k // 128, k % 128) for k in range(total)]
+    assert sorted((r["doc_id"], r["start"] + k) for r in got for k in range(r["length"])) == sorted((d, k) for d, n in {r["doc_id"]: r["doc_tokens"] for r in got}.items() for k in range(n))
+    assert LENGTH == 2048 and len(got) < 1.5 * (len(rows) + total / 128)  # a document is cut by a window's end alone
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 2)])
@@ -383,8 +392,41 @@ def test_quality_on_labels(spark):
 
 def test_sparse_groups_shrink_to_the_prior(spark):
     rows = [("big", "x", 0.9)] * 200 + [("bad", "x", 0.1)] * 200 + [("tiny", "x", 0.1)] + [("big", "y", 0.1)]
-    post, prior = quality.group_posteriors(spark.createDataFrame(rows, "h string, p string, evidence double"), [F.col("h")], [F.col("p")])
-    by = {(r["h"]["h"], r["p"]["p"]): r for r in post.collect()}
-    assert 0.45 < prior < 0.55 and by["bad", "x"]["host_posterior"] < 0.15
-    assert by["bad", "x"]["host_posterior"] < by["tiny", "x"]["host_posterior"] < prior
-    assert 0.1 < by["big", "y"]["path_posterior"] < by["big", "y"]["host_posterior"]
+    sums, est = quality.group_sums(spark.createDataFrame(rows, "h string, p string, evidence double"), [F.col("h")], [F.col("p")])
+    host = lambda r: (r["hs"] + est["k_host"] * est["prior"]) / (r["hn"] + est["k_host"])
+    by = {(r["h"]["h"], r["p"]["p"]): (host(r), (r["s"] + est["k_path"] * host(r)) / (r["n"] + est["k_path"])) for r in sums.collect()}
+    assert 0.45 < est["prior"] < 0.55 and by["bad", "x"][0] < 0.15
+    assert by["bad", "x"][0] < by["tiny", "x"][0] < est["prior"]
+    assert 0.1 < by["big", "y"][1] < by["big", "y"][0]
+
+
+def plain_scores(rows):
+    """(evidence, host, path) to the score, by loops: every document's groups without itself."""
+    groups = {}
+    for e, h, p in rows:
+        for key in ((h,), (h, p)):
+            groups.setdefault(key, []).append(e)
+    prior = sum(e for e, _, _ in rows) / len(rows)
+
+    def strength(keys, centre):
+        spread = sum(len(groups[k]) * (np.mean(groups[k]) - centre(k)) ** 2 - np.var(groups[k]) for k in keys) / len(rows)
+        pq = max(np.mean([centre(k) * (1 - centre(k)) for k in keys]), 1e-6)
+        return min(max(pq / spread - 1, 1.0), 1e4) if spread > 1e-9 else 1e4
+
+    k_host = strength([k for k in groups if len(k) == 1], lambda k: prior)
+    shrunk = lambda h: (sum(groups[h,]) + k_host * prior) / (len(groups[h,]) + k_host)
+    k_path = strength([k for k in groups if len(k) == 2], lambda k: shrunk(k[0]))
+    logit = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    out = []
+    for e, h, p in rows:
+        host = (sum(groups[h,]) - e + k_host * prior) / (len(groups[h,]) - 1 + k_host)
+        path = (sum(groups[h, p]) - e + k_path * host) / (len(groups[h, p]) - 1 + k_path)
+        out.append(1 / (1 + np.exp(-(logit(e) + logit(path) - logit(prior)))))
+    return out
+
+
+@need_data
+def test_quality_scores_equal_a_plain_hierarchy(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    got = quality.classify(docs, quality.train(docs, labels), keep=["doc_id", "source", "lang"]).collect()
+    assert np.allclose([r["quality_score"] for r in got], plain_scores([(r["evidence"], r["source"], r["lang"]) for r in got]), atol=1e-9)
