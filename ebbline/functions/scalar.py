@@ -58,8 +58,9 @@ def surrogate_key(columns: Sequence[Column | str]) -> Column:
 
 
 def row_hash(columns: Sequence[Column | str]) -> Column:
-    """md5 over values with a sentinel, so that a null never equals its absence."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(_c(c).cast("string"), F.lit("\u0000")) for c in columns]))
+    """md5 over values with their lengths, so that no value can run into the next; null has none."""
+    text = [_c(c).cast("string") for c in columns]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]))
 
 
 def user_status(code: Column | str) -> Column:

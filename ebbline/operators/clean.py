@@ -85,3 +85,8 @@ def hash_split(df: DataFrame, keys: Sequence[str], share: float, seed: int = 42)
 def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Bag union by name; columns that one side lacks are null there."""
     return a.unionByName(b, allowMissingColumns=True)
+
+
+def identified(df: DataFrame, user: str = "user_id") -> DataFrame:
+    """Events of known users: staging writes ``anonymous`` for the others, who form no sessions."""
+    return df.where(F.col(user) != "anonymous")

@@ -186,8 +186,8 @@ class _PageReader(DataSourceReader):
         params = {"date": self.options["date"]} if "date" in self.options else {}
         for number in range(partition.first, partition.last + 1):
             body = client.page(number, params)
-            if body is None:
-                return
+            if body is None:  # the task is tried again; a part of the pages must not pass for all
+                raise RuntimeError(f"page {number} of {self.options['url']} can't be read")
             rows = records_of(body)
             for r in rows:
                 yield (number, json.dumps(r))

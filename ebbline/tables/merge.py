@@ -22,6 +22,13 @@ def merge_counts(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
     return hit.agg(F.count_if(F.col("__hit").isNull()).alias("inserted"), F.count_if(F.col("__hit")).alias("updated"), F.lit(0).cast("long").alias("deleted"))
 
 
+def _in_partitions(rows: DataFrame, parts: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """Rows whose partition is (not) in ``parts``; null is a partition like any other."""
+    side = parts.toDF(*[f"__part{i}" for i in range(len(columns))])
+    on = [F.col(f"`{c}`").eqNullSafe(F.col(f"__part{i}")) for i, c in enumerate(columns)]
+    return rows.join(side, on, how)
+
+
 def upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> dict[str, int]:
     """Merge into the snapshot table at ``path``, made on first use; only touched partitions are rewritten.
 
@@ -40,14 +47,13 @@ def upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str
     counts = {k: int(v or 0) for k, v in merge_counts(old, source, keys).first().asDict().items()}
     merged = merge_frame(old, source, keys)
     if partition_by:
-        # a row may leave its old partition: both the old and the new one are rewritten
-        touched = source.select(*partition_by).union(old.join(source.select(*keys).distinct(), list(keys), "left_semi").select(*partition_by)).distinct()
-        merged = merged.join(touched, list(partition_by), "left_semi")
-        left = old.join(source.select(*keys).distinct(), list(keys), "left_semi").select(*partition_by).distinct()
-        emptied = left.join(merged.select(*partition_by).distinct(), list(partition_by), "left_anti").collect()
-        table.replace_partitions(merged, "merge", counts, version)
-        if emptied:
-            table.drop_partitions(["/".join(f"{c}={r[c]}" for c in partition_by) for r in emptied], "merge")
+        # a row may leave its old partition: both the old and the new one are rewritten, in one version
+        left = old.join(source.select(*keys).distinct(), list(keys), "left_semi").select(*partition_by)
+        touched = source.select(*partition_by).union(left).distinct()
+        merged = _in_partitions(merged, touched, partition_by, "left_semi")
+        emptied = _in_partitions(left.distinct(), merged.select(*partition_by).distinct(), partition_by, "left_anti")
+        names = [table.spec_of(r) for r in emptied.select(*[F.col(c).cast("string") for c in partition_by]).collect()]  # folders, not rows
+        table.replace_partitions(merged, "merge", counts, version, names)
     else:
         table.overwrite(merged, "merge", counts, version)
     return counts

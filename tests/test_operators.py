@@ -145,3 +145,14 @@ def test_volume_of_one_day(spark):
     df = spark.createDataFrame([(T(2024, 1, 1),)] * 3, "ts timestamp")
     r = ops.daily_volume(df, F.to_date("ts")).first()
     assert (r["mean_count"], r["stddev_count"], r["lower_bound"]) == (3.0, 0.0, 3.0)
+
+
+def test_sessions_sequences_and_neighbours_share_one_exchange(spark):
+    rows = [("e1", "u", "2024-01-01 00:00:00"), ("e2", "u", "2024-01-01 00:10:00"), ("e3", None, "2024-01-01 00:10:00"), ("e4", None, "2024-01-01 00:11:00")]
+    df = spark.createDataFrame(rows, "event_id string, user_id string, event_timestamp string").selectExpr("*", "'click' as event_type", "1L as duration_ms").withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))
+    out = ops.session_counts(ops.user_neighbours(ops.sequence_events(ops.sessionize(df, keep_spread=True))))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {r["event_id"]: (r["event_sequence_number"], r["session_event_count"], r["user_prev_event_type"]) for r in out.collect()}
+    assert got == {"e1": (1, 2, None), "e2": (2, 2, "click"), "e3": (1, None, None), "e4": (1, None, None)}
+    assert ops.identified(spark.createDataFrame([("a",), ("anonymous",)], "user_id string")).count() == 1

@@ -43,7 +43,7 @@ def test_valid_and_dead(spark, lines):
     dead = memory(dead_letters(parsed), "dead", "append")
     assert {r["event_id"] for r in good.collect()} == {"e1", "e2"}
     assert good.where("event_id = 'e1'").first()["event_timestamp"] == dt.datetime(2024, 1, 1, 1)
-    assert {r["raw_json"] for r in dead.collect()} == {"rubbish", '{"user_id": "x"}'} and dead.first()["error_type"] == "PARSE_ERROR"
+    assert {r["raw_json"] for r in dead.collect()} == {"rubbish", '{"user_id": "x"}'} and dead.first()["error_type"] == "parse_error"
 
 
 def test_windows_agree_with_batch(spark, lines):

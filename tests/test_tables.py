@@ -124,3 +124,24 @@ def test_registry():
     with pytest.raises(SchemaNotFoundError):
         r.get("zz")
     assert r.versions("s") == [1, 2]
+
+
+@pytest.mark.parametrize("parts", [["a"], ["a", "b"]])
+def test_upsert_keeps_rows_of_other_partitions(spark, tmp_path, parts):
+    schema = "id int, a string, b string, v int"
+    path = str(tmp_path / "t")
+    upsert(spark, spark.createDataFrame([(1, "x", "p", 0), (2, "x", "q", 0), (3, "y", "p", 0), (4, None, "p", 0), (5, "a/b=c", None, 0)], schema), path, ["id"], parts)
+    got = upsert(spark, spark.createDataFrame([(1, "x", "p", 1), (4, "y", "p", 1), (5, None, None, 1), (6, None, "q", 1)], schema), path, ["id"], parts)
+    assert got == {"inserted": 1, "updated": 3, "deleted": 0}
+    table = SnapshotTable(spark, path, parts)
+    assert sorted((r["id"], r["a"], r["b"], r["v"]) for r in table.read().collect()) == [(1, "x", "p", 1), (2, "x", "q", 0), (3, "y", "p", 0), (4, "y", "p", 1), (5, None, None, 1), (6, None, "q", 1)]
+    assert table.versions() == [1, 2]  # one commit, though a partition was emptied
+
+
+def test_half_written_version_is_not_read_nor_built_upon(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    table.overwrite(spark.range(3).toDF("id"))
+    table._fs.create(table._manifest(2), False).close()
+    assert table.read().count() == 3
+    with pytest.raises(ConcurrentWriteError):
+        table.append(spark.range(1).toDF("id"))
