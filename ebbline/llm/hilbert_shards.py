@@ -7,7 +7,7 @@ compact box in all dimensions at once, so that readers prune files by any of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm.common import fresh, materialize
@@ -87,59 +87,85 @@ def quantile_cells(df: DataFrame, column: Column, bits: int) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= column)), F.lit(0))
 
 
-def hash_cells(column: Column, bits: int) -> Column:
-    """A cell number for a label; null: 0."""
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << bits)).cast("int"))
+def running(df: DataFrame, keys: list[str], sums: dict[str, Column], tag: str) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` sorted by ``keys`` over all partitions, with the sums over all earlier rows, and the totals.
+
+    Sorting is a range exchange; the sums before a partition come from one row per partition.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # the id holds the partition above bit 33 and the position in it below
+    ranged = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()), f"{tag}-sorted")
+    ranged = ranged.withColumn("__part", F.call_function("shiftright", F.col("__at"), F.lit(33)))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__part").agg(*[F.sum(f"__{k}").alias(f"__t_{k}") for k in sums])
+    starts = materialize(totals.select("__part", *[F.coalesce(F.sum(f"__t_{k}").over(earlier), F.lit(0)).alias(f"__s_{k}") for k in sums]), f"{tag}-totals")
+    whole = totals.agg(*[F.sum(f"__t_{k}").alias(k) for k in sums]).first().asDict()
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(starts) if parts <= 100_000 else starts, "__part")
+    placed = placed.withColumns({k: F.col(f"__s_{k}") + F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0)) for k in sums})
+    return placed.drop("__part", "__at", *[f"__{k}" for k in sums], *[f"__s_{k}" for k in sums]), {k: int(v or 0) for k, v in whole.items()}
+
+
+def label_cells(df: DataFrame, label: str, bits: int) -> DataFrame:
+    """(label, cell): cells ascend with the label and hold near equal numbers of rows; null comes first.
+
+    One row per distinct label; labels are counted before they are sorted, and no label
+    list comes to the driver.
+    """
+    counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("c"))
+    placed, total = running(counts, ["label"], {"before": F.col("c")}, "shards-labels")
+    cell = F.floor(F.col("before").cast("double") * (1 << bits) / max(total["before"], 1))
+    return materialize(placed.select("label", F.least(cell, F.lit((1 << bits) - 1)).cast("int").alias("cell")), "shards-cells")
 
 
 def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 24, law: str = "rows", bits: int = 6, id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and ``curve``.
-
-    Dimensions: quantiles of the size, and the labels' hashed cells. Rows are sorted by
-    (curve index, text checksum, id), so equal texts of equal labels sit side by side.
-    law ``rows`` cuts runs of counts at most one apart; law ``bytes`` cuts where the
-    running size passes a multiple of total / shards. ``grown_shard`` is null: both laws
-    move rows when the shard count changes. Null texts have size 8 and the checksum of the
-    empty string; null ids and labels sort first; repeated rows take slots of their own;
-    an empty table gives no rows. Sorting is a range exchange on a nearly unique key, so
-    no label, text or size can fill one task; only the slim columns are shuffled, and the
-    running totals join per partition. ``write_shards`` attaches the texts.
+def hilbert_shards(docs: DataFrame, shards: int = 24, law: str = "rows", bits: int = 6, id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, ...] = ("source", "lang"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, ``curve`` and ``carry``.
+
+    Dimensions: quantiles of the size, and the labels' ranks in value order, so that a
+    shard covers a range of sizes and of labels. All copies of a text take the least index
+    on the curve among them and sit side by side; a group is cut only where a shard ends
+    inside it. Rows are sorted by (curve index, text, id). law ``rows`` cuts runs of counts
+    at most one apart; law ``bytes`` cuts where the running size passes a multiple of
+    total / shards. ``grown_shard`` is null: both laws move rows when the shard count
+    changes. Null texts have size 8 and the checksum of the empty string; null ids and
+    labels sort first; repeated rows take slots of their own; an empty table gives no
+    rows. Sorting is a range exchange on a nearly unique key, so no label, text or size
+    can fill one task; only the slim columns are shuffled, and the tables of labels and
+    of copies have one row a key. ``carry`` names input columns to take along, which must
+    not be called like the result's. ``write_shards`` attaches the texts.
     """
     if law not in ("rows", "bytes"):
         raise ValueError("law must be rows or bytes")
-    spark = docs.sparkSession
-    text = F.col(text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
-        text_size(text).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        *[hash_cells(F.col(c), bits).alias(f"cell{i}") for i, c in enumerate(label_cols)],
+        text_size(F.col(text_col)).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
+        *[F.col(c).cast("string").alias(f"label{i}") for i, c in enumerate(label_cols)],
+        *carry,
     )
     slim = materialize(slim, "shards-slim")
-    cells = [quantile_cells(slim, F.col("size"), bits).cast("int"), *[F.col(f"cell{i}") for i in range(len(label_cols))]]
-    keyed = slim.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("curve"))
-    keys = ["curve", "text_crc32", "doc_id", "size"]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    # the id holds the partition above bit 33 and the position in it below
-    ranged = materialize(ranged.withColumn("at", F.monotonically_increasing_id()), "shards-sorted")
-    part, seat = F.call_function("shiftright", F.col("at"), F.lit(33)), F.col("at").bitwiseAND((1 << 33) - 1)
-    from pyspark.sql import Window
-
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition of the sort, whatever the rows
-    totals = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    totals = totals.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(w), F.lit(0)).alias("b0"))
-    totals = materialize(totals, "shards-totals")
-    n, b = ranged.agg(F.count("*"), F.sum("size")).first()
-    placed = ranged.withColumn("part", part).join(F.broadcast(totals) if parts <= 100_000 else totals, "part")
-    placed = placed.withColumn("row", F.col("n0") + seat)
+    cells = [quantile_cells(slim, F.col("size"), bits).cast("int")]
+    celled = slim
+    for i in range(len(label_cols)):
+        ranks = label_cells(slim, f"label{i}", bits).withColumnRenamed("cell", f"cell{i}")
+        celled = celled.join(ranks, celled[f"label{i}"].eqNullSafe(ranks["label"])).drop("label")
+        cells.append(F.col(f"cell{i}"))
+    same = ["text_crc32", "text_hash", "size"]
+    keyed = materialize(celled.select("doc_id", *same, *carry, hilbert_index(cells, bits).alias("own")), "shards-keyed")
+    spread = keyed.groupBy(*same).agg(F.min("own").alias("least"), F.max("own").alias("most"))
+    spread = materialize(spread.where("least < most").drop("most"), "shards-copies")
+    keyed = keyed.join(spread, same, "left").select("doc_id", *same, *carry, F.coalesce("least", "own").alias("curve"))
+    placed, total = running(keyed, ["curve", *same, "doc_id", *carry], {"row": F.lit(1).cast("long"), "bytes": F.col("size")}, "shards")
     if law == "rows":
-        base, extra = divmod(int(n), shards)
+        base, extra = divmod(total["row"], shards)
         head = (base + 1) * extra  # the first `extra` shards hold one more
         r = F.col("row")
         low = F.expr(f"row div {base + 1}")
@@ -147,24 +173,25 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, law: str = "rows", bits: i
         slot = F.when(r < head, r - low * (base + 1)).otherwise((r - head) % max(base, 1))
         out = placed.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")})
     else:
-        run = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.col("b0") + F.coalesce(F.sum("size").over(run), F.lit(0))
-        middle = before + F.expr("size div 2")
-        shard = F.least(F.lit(shards - 1), F.floor(middle.cast("double") * shards / max(int(b or 0), 1)))
+        middle = F.col("bytes") + F.expr("size div 2")
+        shard = F.least(F.lit(shards - 1), F.floor(middle.cast("double") * shards / max(total["bytes"], 1)))
         out = materialize(placed.withColumn("shard", shard.cast("int")), "shards-bytes")
         first = out.groupBy("shard").agg(F.min("row").alias("row0"))
         out = out.join(F.broadcast(first), "shard").withColumn("slot", F.col("row") - F.col("row0"))
-    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", *carry)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
     """The documents as Parquet, one folder per shard, each sorted by slot.
 
-    Rows meet their place by id (unique ids are asked for here).
+    Rows are numbered in a stored copy first and meet their place by that number, so
+    repeated and null ids are written as often as they come. The columns ``shard`` and
+    ``slot`` are the place; input columns of those names give way.
     """
-    place = hilbert_shards(docs, **options).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    key = options.get("id_col", "doc_id")
-    whole = docs.join(place, docs[key].eqNullSafe(place["__id"])).drop("__id")
+    row = fresh(docs) + "row"
+    numbered = materialize(docs.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()), "shards-rows")
+    place = hilbert_shards(numbered, carry=(row,), **options).select(row, "shard", "slot")
+    whole = numbered.join(place, row).drop(row)
     whole.repartitionByRange(options.get("shards", 24), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
