@@ -52,54 +52,121 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return out
 
 
+CHUNK = 256
+
+
+def plain_path(path: Column) -> Column:
+    """``path`` without its dot segments, as browsers read it.
+
+    Segments are first reduced in runs of ``CHUNK`` to (how many steps up, names below),
+    which then are joined, so that a path of very many segments isn't copied for each.
+    """
+    none = F.array().cast("array<string>")
+    parts = F.split(path, "/")
+
+    def step(acc: Column, seg: Column) -> Column:
+        names, ups = acc["names"], acc["ups"]
+        deep = F.size(names) > 0
+        up = F.struct(F.when(deep, ups).otherwise(ups + 1).alias("ups"), F.when(deep, F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names).alias("names"))
+        down = F.struct(ups.alias("ups"), F.concat(names, F.array(seg)).alias("names"))
+        return F.when(seg == "..", up).when(seg == ".", acc).otherwise(down)
+
+    start = F.struct(F.lit(0).alias("ups"), none.alias("names"))
+    # the empty text before the first slash is put back at the end
+    body = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    runs = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(body), F.lit(CHUNK)).cast("int")), lambda k: F.aggregate(F.slice(body, k * CHUNK + 1, CHUNK), start, step))
+    joined = F.aggregate(runs, none, lambda acc, run: F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - run["ups"], F.lit(0))), run["names"]))
+    folder = F.when(path.rlike(r"/\.\.?$"), F.concat(joined, F.array(F.lit("")))).otherwise(joined)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(folder, "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The identity of an alias: scheme and host lower-cased, the fragment cut."""
+    """The identity of an alias: scheme and host lower-cased, dot segments resolved, the fragment cut."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     head = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.concat(ascii_lower(head), F.substr(bare, F.length(head) + 1))
+    rest = F.substr(bare, F.length(head) + 1)
+    path = F.regexp_extract(rest, r"(?s)^[^?]*", 0)
+    return F.concat(ascii_lower(head), F.when(head == "", path).otherwise(plain_path(path)), F.substr(rest, F.length(path) + 1))
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """An absolute URL for ``link`` on the page ``base``; null if it isn't one."""
+    """An absolute URL for ``link`` on the page ``base``, before dot segments; null if it isn't one."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//", 1)
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
     folder = F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder)
     link = F.trim(link)
     return (
-        F.when(link.isNull() | (link == ""), F.lit(None))
+        F.when(link.isNull() | (link == "") | (origin == ""), F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
         .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^[^?#]*", 0), link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^[^#]*", 0), link))
         .otherwise(F.concat(folder, link))
     )
 
 
+#: Character references by name that URLs in attributes have.
+NAMED = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+NUMBER = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
+
+
+def _decoded(value: Column) -> Column:
+    """Character references of ASCII decoded; others stay as they are."""
+    pieces = F.split(value, "&#")
+
+    def piece(p: Column) -> Column:
+        digits = F.regexp_extract(p, NUMBER, 1)
+        code = F.when(F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits)
+        code = F.when(digits != "", code).cast("int")
+        known = code.between(32, 126)
+        return F.when(known, F.concat(F.call_function("char", code), F.substr(p, F.length(F.regexp_extract(p, NUMBER, 0)) + 1))).otherwise(F.concat(F.lit("&#"), p))
+
+    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    out = F.when(F.instr(value, "&#") > 0, F.concat(pieces[0], F.array_join(F.transform(rest, piece), ""))).otherwise(value)
+    for name, char in NAMED:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
 def _attribute(tag: Column, name: str) -> Column:
     value = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
     value = F.regexp_replace(value, rf"""(?is)^[\s"']{name}\s*=\s*["']?""", "")
-    value = F.regexp_replace(value, r"""["']$""", "")
-    return F.replace(value, F.lit("&amp;"), F.lit("&"))
+    return F.regexp_replace(value, r"""["']$""", "")
+
+
+#: What a browser doesn't read as tags: comments, scripts, styles, templates and plain-text elements.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|xmp|iframe)\b.*?(?:</\1\s*>|\z)"
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(src, dst)``: canonical links and meta refreshes, from tags of the whole html."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), F.lit(1))
+    """``(src, dst)``: canonical links and meta refreshes, from tags of the whole html.
+
+    Links are relative to the page's first ``<base href>``, else to its url; those in
+    comments, scripts, styles, templates and plain-text elements don't count.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(F.col(html), UNREAD, " "), F.lit(r"(?is)(<(?:link|meta|base)\s[^>]*>)"), F.lit(1))
     some = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|refresh"))
-    found = some.select(F.col(url).alias("base"), F.explode(tags).alias("tag")).where(F.col("tag").rlike(r"(?i)canonical|refresh"))
     # each step is stored: as one expression it would repeat itself many times over
-    found = materialize(found, "url-tags")
+    found = materialize(some.select(F.col(url).alias("page"), tags.alias("tags")), "url-tags")
+    at_base = F.get(F.filter("tags", lambda t: F.lower(F.substr(t, F.lit(1), F.lit(5))) == "<base"), F.lit(0))
+    found = found.select("page", _attribute(at_base, "href").alias("at"), F.explode("tags").alias("tag")).where(F.col("tag").rlike(r"(?i)canonical|refresh"))
+    found = materialize(found, "url-tag")
     if found.isEmpty():
-        return found.select(F.col("base").alias("src"), F.col("tag").alias("dst"))
+        return found.select(F.col("page").alias("src"), F.col("tag").alias("dst"))
     tag = F.col("tag")
-    found = materialize(found.select("base", *[_attribute(tag, x).alias(x.replace("-", "_")) for x in ("rel", "href", "http-equiv", "content")]), "url-attributes")
+    found = materialize(found.select("page", "at", *[_attribute(tag, x).alias(x.replace("-", "_")) for x in ("rel", "href", "http-equiv", "content")]), "url-attributes")
+    found = materialize(found.select("page", "rel", "http_equiv", *[_decoded(F.col(x)).alias(x) for x in ("at", "href", "content")]), "url-decoded")
     target = F.when(F.lower("rel").rlike(r"(^|\s)canonical(\s|$)"), F.col("href")).when(
         F.lower("http_equiv") == "refresh", F.regexp_extract("content", r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1)
     )
-    found = materialize(found.select("base", target.alias("link")), "url-targets")
-    found = materialize(found.select("base", resolve(F.col("base"), F.col("link")).alias("to")), "url-links")
-    return found.where(F.col("to").isNotNull()).select(node_of(F.col("base")).alias("src"), node_of(F.col("to")).alias("dst")).where("src <> dst")
+    found = materialize(found.select("page", F.coalesce(resolve(F.col("page"), F.col("at")), F.col("page")).alias("base"), target.alias("link")), "url-targets")
+    found = materialize(found.select("page", resolve(F.col("base"), F.col("link")).alias("to")), "url-links")
+    return found.where(F.col("to").isNotNull()).select(node_of(F.col("page")).alias("src"), node_of(F.col("to")).alias("dst")).where("src <> dst")
 
 
 def judge_urls(pages: DataFrame, url: str = "url", html: str | None = "html", rules: Sequence[tuple[str, str, str]] = RULES, links: DataFrame | None = None) -> DataFrame:
