@@ -6,6 +6,7 @@ import os
 import random
 import re
 from fractions import Fraction
+from urllib.parse import urljoin
 
 import numpy as np
 import public_tokenizers
@@ -187,6 +188,38 @@ def test_boundary_follows_cost():
     assert JaccardJoin  # the steps are public
 
 
+def test_shards_prune_by_label_and_keep_copies_together(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = hilbert_shards.hilbert_shards(docs, 24, carry=("source", "lang")).collect()
+    runs = collections.defaultdict(list)
+    for r in placed:
+        runs[r["shard"]].append(r)
+    for label in ("source", "lang"):
+        spans = [(min(r[label] or "" for r in rows), max(r[label] or "" for r in rows)) for rows in runs.values()]
+        values = {r[label] or "" for r in placed}
+        read = sum(sum(lo <= v <= hi for lo, hi in spans) for v in values) / (len(values) * len(runs))
+        assert read < 0.7, (label, read)  # files read by an equality, where chance order reads nearly all
+    copies = collections.defaultdict(set)
+    many = collections.Counter((r["size"], r["text_crc32"]) for r in placed)
+    for r in placed:
+        if many[r["size"], r["text_crc32"]] > 1:
+            copies[r["size"], r["text_crc32"]].add((r["shard"], r["slot"]))
+    apart = sum(len({s for s, _ in places}) > 1 for places in copies.values())
+    assert copies and apart <= 23  # at most one group is cut at each end of a shard
+    for places in copies.values():
+        rank = sorted(sum(len(runs[k]) for k in range(s)) + t for s, t in places)
+        assert rank == list(range(rank[0], rank[0] + len(rank)))
+
+
+def test_written_shards_hold_repeated_rows_once_each(spark, tmp_path):
+    rows = [(1, "a", "s", "x", 7), (1, "a", "s", "x", 7), (1, "b", "t", None, 8), (None, "a", "u", "y", 9), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, shard int")
+    hilbert_shards.write_shards(docs, str(tmp_path / "out"), shards=2)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, got.select("doc_id", "text", "source", "lang").collect())) == sorted(map(str, docs.drop("shard").collect()))
+    assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [2, 3]
+
+
 @pytest.mark.parametrize("native", [True, False])
 def test_components(spark, native):
     rnd = random.Random(2)
@@ -207,6 +240,21 @@ def test_components(spark, native):
     assert connected_components(spark.createDataFrame([], "a long, b long"), native=native).count() == 0
 
 
+def test_dot_segments(spark):
+    paths = ["/a/b/../c", "/a/./b", "/../a", "/a/..", "/a/.", "/", "", "/a..b/c", "/a/b/../../../c/", "/..", "/" + "x/" * 600 + "../" * 599 + "y", "/.../a"]
+    links = ["g", "./g", "../g", "?y", "/g", "//h.net/g", "../../../g", "g/./h", "", "#s", "mailto:x"]
+    table = spark.createDataFrame([(p, k) for p in paths for k in links], "p string, k string")
+    base = F.concat(F.lit("http://b.net"), F.col("p"))
+    for r in table.select("p", "k", url_filter.node_of(url_filter.resolve(base, F.col("k"))).alias("to"), url_filter.node_of(base).alias("own")).collect():
+        want = urljoin("http://b.net" + r["p"], r["k"]).split("#")[0]
+        if r["k"] in ("", "mailto:x"):
+            assert r["to"] is None
+        elif r["k"][0] in "?#":
+            assert r["to"] == r["own"] + r["k"].split("#")[0]
+        else:
+            assert r["to"] == want, (r, want)
+
+
 def test_url_aliases(spark):
     link = lambda u: f'<html><head><link href="{u}" rel="canonical"></head>'
     rows = [
@@ -220,12 +268,26 @@ def test_url_aliases(spark):
         (8, "http://d.net/2", link("http://d.net/1#part")),
         (9, "http://d.net/2", link("http://x.com/de/9")),
         (10, "http://lone.net/", ""),
+        (11, "http://x.com/de/./a/../2", link("http://c.net/x")),
+        (12, "http://e.net/a/b?p=1", "<base href='http://x.com/de/f/'>" + link("./g")),
+        (13, "http://e.net/q/r", link("?id=5")),
+        (14, "http://e.net/n1", "<!-- " + link("http://x.com/de/1") + " -->"),
+        (15, "http://e.net/n2", "<script>var a='" + link("http://x.com/de/1") + "'</script>" + link("#top")),
+        (16, "http://e.net/n3", "<template>" + link("http://x.com/de/1")),
+        (17, "http://e.net/q/r?id=5", link("http://x&#46;com&#x2F;de/7")),
+        (18, "http://e.net/m", link("//e.net/" + "a/" * 700 + "../" * 700 + "k")),
+        (19, "http://e.net/k", link("/../../../l")),
+        (20, "http://e.net/l", link("http://x.com/de/8")),
     ]
     got = {r["page_id"]: (r["verdict"], r["reason"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == got[2] == ("block", "alias") and got[3] == ("block", "rule")
     assert got[4] == got[5] == ("block", "alias")
     assert got[7] == got[8] == got[9] == ("allow", "default")  # an explicit allow among the aliases comes first
     assert got[10] == ("allow", "default")
+    assert got[6] == ("block", "alias")  # ../x is http://c.net/x, see page 11
+    assert got[11] == ("block", "rule") and got[12] == got[13] == ("block", "alias")
+    assert got[14] == got[15] == got[16] == ("allow", "default")
+    assert got[17] == got[18] == got[19] == got[20] == ("block", "alias")
     known = spark.createDataFrame([("http://lone.net/", "http://example.org/en/1")], "src string, dst string")
     again = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), links=known).collect()}
     assert again[10] == "block"
