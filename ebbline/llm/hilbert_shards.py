@@ -87,37 +87,41 @@ def quantile_cells(df: DataFrame, column: Column, bits: int) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= column)), F.lit(0))
 
 
-def running(df: DataFrame, keys: list[str], sums: dict[str, Column], tag: str) -> tuple[DataFrame, dict[str, int]]:
-    """``df`` sorted by ``keys`` over all partitions, with the sums over all earlier rows, and the totals.
+def ranked(df: DataFrame, keys: list[str], tag: str, weight: str | None = None) -> DataFrame:
+    """``df`` sorted by ``keys`` over all partitions, with ``row`` (from 0) and, of ``weight``, ``before``: the sum over earlier rows.
 
-    Sorting is a range exchange; the sums before a partition come from one row per partition.
+    Sorting is a range exchange, and a row's number is its partition's start and its seat
+    there; only a weight needs a window in each partition. Starts are one row per partition.
     """
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     # the id holds the partition above bit 33 and the position in it below
     ranged = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()), f"{tag}-sorted")
     ranged = ranged.withColumn("__part", F.call_function("shiftright", F.col("__at"), F.lit(33)))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__part").agg(*[F.sum(f"__{k}").alias(f"__t_{k}") for k in sums])
-    starts = materialize(totals.select("__part", *[F.coalesce(F.sum(f"__t_{k}").over(earlier), F.lit(0)).alias(f"__s_{k}") for k in sums]), f"{tag}-totals")
-    whole = totals.agg(*[F.sum(f"__t_{k}").alias(k) for k in sums]).first().asDict()
-    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col(weight) if weight else F.lit(0).cast("long")
+    totals = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.sum(own).alias("b"))
+    starts = totals.select("__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in ("n", "b")])
+    starts = materialize(starts, f"{tag}-starts")
     placed = ranged.join(F.broadcast(starts) if parts <= 100_000 else starts, "__part")
-    placed = placed.withColumns({k: F.col(f"__s_{k}") + F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0)) for k in sums})
-    return placed.drop("__part", "__at", *[f"__{k}" for k in sums], *[f"__s_{k}" for k in sums]), {k: int(v or 0) for k, v in whole.items()}
+    placed = placed.withColumn("row", F.col("__n") + F.col("__at").bitwiseAND((1 << 33) - 1))
+    if weight:
+        inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("before", F.col("__b") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return placed.drop("__part", "__at", "__n", "__b")
 
 
-def label_cells(df: DataFrame, label: str, bits: int) -> DataFrame:
-    """(label, cell): cells ascend with the label and hold near equal numbers of rows; null comes first.
+def label_cells(df: DataFrame, labels: list[str], bits: int, rows: int) -> DataFrame:
+    """(dim, label, cell) of all ``labels``: cells ascend with the label and hold near equal numbers of rows; null comes first.
 
     One row per distinct label; labels are counted before they are sorted, and no label
     list comes to the driver.
     """
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("c"))
-    placed, total = running(counts, ["label"], {"before": F.col("c")}, "shards-labels")
-    cell = F.floor(F.col("before").cast("double") * (1 << bits) / max(total["before"], 1))
-    return materialize(placed.select("label", F.least(cell, F.lit((1 << bits) - 1)).cast("int").alias("cell")), "shards-cells")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).alias("label")) for i, c in enumerate(labels)]))
+    counts = df.select(each.alias("x")).groupBy("x.dim", "x.label").agg(F.count("*").alias("c"))
+    placed = ranked(counts, ["dim", "label"], "shards-labels", "c")
+    cell = F.floor((F.col("before") - F.col("dim") * F.lit(rows)).cast("double") * (1 << bits) / max(rows, 1))
+    return materialize(placed.select("dim", "label", F.least(cell, F.lit((1 << bits) - 1)).cast("int").alias("cell")), "shards-cells")
 
 
 def text_size(text: Column) -> Column:
@@ -152,20 +156,22 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, law: str = "rows", bits: i
         *carry,
     )
     slim = materialize(slim, "shards-slim")
-    cells = [quantile_cells(slim, F.col("size"), bits).cast("int")]
-    celled = slim
-    for i in range(len(label_cols)):
-        ranks = label_cells(slim, f"label{i}", bits).withColumnRenamed("cell", f"cell{i}")
-        celled = celled.join(ranks, celled[f"label{i}"].eqNullSafe(ranks["label"])).drop("label")
+    rows, size = slim.agg(F.count("*"), F.sum("size")).first()
+    cells, celled = [quantile_cells(slim, F.col("size"), bits).cast("int")], slim
+    names = [f"label{i}" for i in range(len(label_cols))]
+    ranks = label_cells(slim, names, bits, rows) if names else None
+    for i, name in enumerate(names):
+        own = ranks.where(F.col("dim") == i).select(F.col("label").alias("__label"), F.col("cell").alias(f"cell{i}"))
+        celled = celled.join(own, F.col(name).eqNullSafe(F.col("__label"))).drop("__label", name)
         cells.append(F.col(f"cell{i}"))
     same = ["text_crc32", "text_hash", "size"]
     keyed = materialize(celled.select("doc_id", *same, *carry, hilbert_index(cells, bits).alias("own")), "shards-keyed")
     spread = keyed.groupBy(*same).agg(F.min("own").alias("least"), F.max("own").alias("most"))
     spread = materialize(spread.where("least < most").drop("most"), "shards-copies")
     keyed = keyed.join(spread, same, "left").select("doc_id", *same, *carry, F.coalesce("least", "own").alias("curve"))
-    placed, total = running(keyed, ["curve", *same, "doc_id", *carry], {"row": F.lit(1).cast("long"), "bytes": F.col("size")}, "shards")
+    placed = ranked(keyed, ["curve", *same, "doc_id", *carry], "shards", "size" if law == "bytes" else None)
     if law == "rows":
-        base, extra = divmod(total["row"], shards)
+        base, extra = divmod(rows, shards)
         head = (base + 1) * extra  # the first `extra` shards hold one more
         r = F.col("row")
         low = F.expr(f"row div {base + 1}")
@@ -173,8 +179,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, law: str = "rows", bits: i
         slot = F.when(r < head, r - low * (base + 1)).otherwise((r - head) % max(base, 1))
         out = placed.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")})
     else:
-        middle = F.col("bytes") + F.expr("size div 2")
-        shard = F.least(F.lit(shards - 1), F.floor(middle.cast("double") * shards / max(total["bytes"], 1)))
+        middle = F.col("before") + F.expr("size div 2")
+        shard = F.least(F.lit(shards - 1), F.floor(middle.cast("double") * shards / max(int(size or 0), 1)))
         out = materialize(placed.withColumn("shard", shard.cast("int")), "shards-bytes")
         first = out.groupBy("shard").agg(F.min("row").alias("row0"))
         out = out.join(F.broadcast(first), "shard").withColumn("slot", F.col("row") - F.col("row0"))
