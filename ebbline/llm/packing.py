@@ -34,6 +34,9 @@ END_ID = 1
 ROUNDS_A_BLOCK = 256
 #: Blocks whose running sums are made together.
 BLOCKS_A_GROUP = 4096
+#: Tokens that one task sorts at a time, about; beyond so many tasks they sort more, and spill.
+TOKENS_A_TASK = 1 << 22
+MOST_TASKS = 50_000
 
 
 # -- tokens ---------------------------------------------------------------------
@@ -210,17 +213,18 @@ def queue_table(parts: DataFrame, weights: dict[str, int] | None, most: int) ->
     return queues.select("queue", "held", F.when(F.col("given").isNull(), 1).otherwise(0).cast("long").alias("tier"), F.coalesce("given", "held").alias("weight"), credit(F.col("queue"), F.col("held"), most).alias("credit"))
 
 
-def schedule(tokens: DataFrame, weights: dict[str, int] | None, length: int, most: int) -> DataFrame | None:
-    """The runs of all documents: (doc_id, queue, n, ids, at, size, stop, due, slot); None without rows.
+def schedule(tokens: DataFrame, weights: dict[str, int] | None, length: int, most: int) -> tuple[DataFrame | None, int]:
+    """The runs of all documents: (doc_id, queue, n, ids, at, size, stop, due, slot), None without rows, and how many tokens there are.
 
     ``stop`` is the run's end in its queue and ``due`` its round, exact in decimals of 38
     digits; ``slot`` is its block of rounds, those of weighted sources first.
     """
     parts = materialize(tokens.groupBy("queue", "part").agg(F.sum("n").alias("held")), "pack-parts")
     queues = materialize(queue_table(parts, weights, most), "pack-queues")
-    sums = {r["tier"]: r["w"] for r in queues.groupBy("tier").agg(F.sum("weight").alias("w")).collect()}  # two rows at most
+    tiers = queues.groupBy("tier").agg(F.sum("weight").alias("w"), F.sum("held").alias("held")).collect()  # two rows at most
+    sums = {r["tier"]: r["w"] for r in tiers}
     if not sums:
-        return None
+        return None, 0
     w = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = parts.select(F.col("queue").alias("bq"), F.col("part").alias("bp"), F.coalesce(F.sum("held").over(w), F.lit(0)).alias("before"))
     places = before.join(queues.withColumnRenamed("queue", "qq"), F.col("bq").eqNullSafe(F.col("qq"))).drop("qq", "held")
@@ -233,7 +237,7 @@ def schedule(tokens: DataFrame, weights: dict[str, int] | None, length: int, mos
     quantum = f"(cast({length} as decimal(10,0)) * cast(weight as decimal(19,0)))"
     need = "(cast(stop - credit as decimal(19,0)) * cast(whole as decimal(19,0)))"
     runs = runs.withColumn("due", F.expr(f"greatest(1L, ({need} + {quantum} - 1) div {quantum})"))
-    return runs.withColumn("slot", F.expr(f"tier * {1 << 61} + due div {ROUNDS_A_BLOCK}"))
+    return runs.withColumn("slot", F.expr(f"tier * {1 << 61} + due div {ROUNDS_A_BLOCK}")), sum(r["held"] for r in tiers)
 
 
 def slot_starts(runs: DataFrame) -> DataFrame:
@@ -306,13 +310,14 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, int] | None =
         raise ValueError("a window and a run need a token at least")
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
     tokens = materialize(tokenize(docs, tokenizer_path, id_col, text_col, source_col, end_id), "pack-tokens")
-    runs = schedule(tokens, weights, length, most or max(1, length // 4))
+    runs, held = schedule(tokens, weights, length, most or max(1, length // 4))
     if runs is None:
         return spark.createDataFrame([], schema)
     starts = slot_starts(runs)
     width = F.expr("cast(length(ids) div n as int)")
     ids = F.substr("ids", F.col("at").cast("int") * width + 1, F.col("size").cast("int") * width)
-    placed = runs.select("doc_id", "n", "at", "size", "slot", "due", "queue", "stop", ids.alias("ids")).repartition("slot")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-held // TOKENS_A_TASK)))
+    placed = runs.select("doc_id", "n", "at", "size", "slot", "due", "queue", "stop", ids.alias("ids")).repartition(tasks, "slot")
     placed = placed.join(starts, F.col("slot") == F.col("s")).sortWithinPartitions("slot", "due", "queue", "stop")
     return map_arrow(placed.select("doc_id", "n", "at", "size", "slot", "begin", "ids"), _place(length, with_ids), schema)
 
