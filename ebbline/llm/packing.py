@@ -47,7 +47,7 @@ class _Encoder:
     size, long ones not at all.
     """
 
-    def __init__(self, path: str, limit: int = 50_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
