@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 
 from pyspark.sql import SparkSession
@@ -18,9 +19,10 @@ COMMON = {
 
 #: Sizing per environment.
 PROFILES: dict[str, dict[str, str]] = {
-    "local": {"spark.master": "local[*]", "spark.driver.memory": "2g", "spark.executor.memory": "2g", "spark.sql.shuffle.partitions": "8"},
-    "dev": {"spark.executor.instances": "2", "spark.executor.cores": "2", "spark.executor.memory": "4g", "spark.sql.shuffle.partitions": "50", "spark.sql.broadcastTimeout": "600"},
+    "local": {"spark.master": "local[*]", "spark.driver.memory": "2g", "spark.executor.memory": "2g", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.bindAddress": "127.0.0.1"},
+    "dev": {"spark.driver.memory": "4g", "spark.executor.instances": "2", "spark.executor.cores": "2", "spark.executor.memory": "4g", "spark.sql.shuffle.partitions": "50", "spark.sql.broadcastTimeout": "600"},
     "staging": {
+        "spark.driver.memory": "8g",
         "spark.executor.instances": "4",
         "spark.executor.cores": "4",
         "spark.executor.memory": "8g",
@@ -39,20 +41,25 @@ PROFILES: dict[str, dict[str, str]] = {
         "spark.dynamicAllocation.minExecutors": "5",
         "spark.dynamicAllocation.maxExecutors": "50",
         "spark.speculation": "true",
-        "spark.sql.autoBroadcastJoinThreshold": str(50 << 20),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
-        "spark.sql.broadcastTimeout": "1200",
+        "spark.sql.autoBroadcastJoinThreshold": "50MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64MB",
+        "spark.sql.broadcastTimeout": "600",
+        "spark.speculation.multiplier": "2",
+        "spark.speculation.quantile": "0.9",
+        "spark.network.timeout": "600s",
+        "spark.rpc.askTimeout": "600s",
     },
 }
 
 
 def detect_environment(env: dict[str, str] | None = None) -> str:
-    """``PIPELINE_ENV``, then ``SPARK_ENV``, else local."""
+    """``PIPELINE_ENV``, then ``SPARK_ENV``, else local; an unknown name is local too, with a warning."""
     env = os.environ if env is None else env
     name = (env.get("PIPELINE_ENV") or env.get("SPARK_ENV") or "local").strip().lower()
     if name not in PROFILES:
-        raise ValueError(f"unknown environment {name!r}; one of {sorted(PROFILES)}")
+        logging.getLogger(__name__).warning("unknown environment %r, taken as local; known: %s", name, ", ".join(PROFILES))
+        return "local"
     return name
 
 
