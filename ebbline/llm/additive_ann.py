@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import materialize, slices
+from ebbline.llm.common import materialize, slices, store, stored
 from ebbline.llm.topk_pivot import BLOCK, _whole, as_matrix, blocks_of, main_dimension, ranked, valid_vectors
 
 #: Rows the codebooks are fitted on (by hash of the id).
@@ -163,8 +163,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = R
     Frames are (vec_id, v array<double>). Every row is indexed; codebooks are fitted on at
     most ``MAX_SAMPLE`` rows. A query's own id is no candidate; ties go to the smaller id;
     fewer candidates give fewer rows; vectors of another dimension than most take no part;
-    repeated rows rank separately; empty tables give no rows. Queries come in blocks of
-    ``QUERIES_AT_ONCE`` against all rows; a task passes on k rows a query.
+    repeated rows rank separately; empty tables give no rows. Queries are stored, and each
+    task reads them in blocks of ``QUERIES_AT_ONCE`` against its rows, so that neither driver
+    nor task holds them all; it passes on k rows a query.
     """
     spark = vectors.sparkSession
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -184,28 +185,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = R
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(codes), pa.list_(pa.int16())), pa.array(error)], names=["vec_id", "v", "codes", "error"])
 
     table = materialize(rows.mapInArrow(index, "vec_id long, v array<double>, codes array<short>, error double"), "ann-index")
-    wanted = materialize(queries.where(F.size("v") == d).select("vec_id", "v"), "ann-queries")
-    n_blocks = max(1, -(-wanted.count() // QUERIES_AT_ONCE))
-    parts = []
-    for at in range(n_blocks):
-        mine = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == at)
-        got = mine.toPandas()
-        if not len(got):
-            continue
-        q_ids, q = got["vec_id"].to_numpy(np.int64), np.stack(got["v"].to_list())
-        asked = spark.sparkContext.broadcast((q_ids, q))
-
-        def search(batches, asked=asked):
-            q_ids, q = asked.value
-            aq = AdditiveQuantiser(books.value)
-            tables = aq.lookup(q)
-            for b in (part for whole in _whole(batches, BLOCK) for part in slices(whole, BLOCK)):
-                codes = as_matrix(b.column(2), len(aq.books))
-                found = search_block(b.column(0).to_numpy(), as_matrix(b.column(1), d), codes, b.column(3).to_numpy(), q_ids, q, tables, k, rerank)
+    asked = store(blocks_of(queries.where(F.size("v") == d).select("vec_id", "v"), QUERIES_AT_ONCE)[0], "ann-queries")
+
+    def search(batches):
+        aq = AdditiveQuantiser(books.value)
+        for b in (part for whole in _whole(batches, BLOCK) for part in slices(whole, BLOCK)):
+            ids, x, codes, error = b.column(0).to_numpy(), as_matrix(b.column(1), d), as_matrix(b.column(2), len(aq.books)), b.column(3).to_numpy()
+            for wanted in stored(asked, QUERIES_AT_ONCE):
+                q = as_matrix(wanted.column(1), d)
+                found = search_block(ids, x, codes, error, wanted.column(0).to_numpy(), q, aq.lookup(q), k, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-        parts.append(table.mapInArrow(search, "query_id long, vec_id long, score double"))
-    return ranked(parts, k, "score") if parts else nothing
+    return ranked(table.mapInArrow(search, "query_id long, vec_id long, score double"), k, "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

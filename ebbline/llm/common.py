@@ -8,6 +8,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SCRATCH = "/tmp/checkpoints/ebbline"
@@ -34,10 +36,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     executors and gives the optimizer the table's real size, so that it broadcasts a
     side only when that side is under the session's threshold.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ebbline-{tag}-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, tag))
+
+
+def store(df: DataFrame, tag: str) -> str:
+    """Write ``df`` as Parquet in the shared folder, for tasks to read with ``stored``."""
+    path = f"{shared_dir(df.sparkSession)}/ebbline-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(folder: str, rows: int):
+    """The rows of a stored table in record batches of at most ``rows``, in one order for all tasks."""
+    system, path = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder.removeprefix("file:"))
+    names = sorted(i.path for i in system.get_file_info(pa.fs.FileSelector(path)) if i.base_name.startswith("part-") and i.base_name.endswith(".parquet"))
+    for name in names:
+        with system.open_input_file(name) as f:
+            yield from (b for b in pa.parquet.ParquetFile(f).iter_batches(rows) if b.num_rows)
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

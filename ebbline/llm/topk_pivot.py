@@ -11,16 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ebbline.llm.common import materialize
+from ebbline.llm.common import materialize, store, stored
 
 #: Rows that the pivots are chosen from (by hash of the id).
 MAX_SAMPLE = 2_000
 PIVOTS = 48
-#: Rows of the table per block, and queries that go to the tasks at once.
+#: Rows of the table per block, and queries that a task holds at once.
 BLOCK = 8_192
 QUERIES_AT_ONCE = 4_096
 
@@ -47,9 +46,9 @@ def as_matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def blocks_of(vectors: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """The rows dealt evenly into partitions of about ``size`` rows, and their count."""
+    """The rows dealt in turn, repeated ids too, into partitions of about ``size`` rows, and their count."""
     n = vectors.count()
-    return vectors.repartition(max(1, -(-n // size)), F.xxhash64("vec_id")), n
+    return vectors.repartition(max(1, -(-n // size))), n
 
 
 class Pivots:
@@ -110,12 +109,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     them. A query's own id is no candidate; ties go to the smaller id; fewer candidates
     give fewer rows; repeated candidates rank separately; an empty side gives no rows.
     Vectors of another dimension than most take no part. The table of distances is stored
-    once. Queries come in blocks of ``QUERIES_AT_ONCE`` (a stated query set against all
-    rows); each task searches its block of rows exactly and passes on k rows a query.
-    Exact in float64 while sums stay below 2^53.
+    once, and so are the queries; each task reads them in blocks of ``QUERIES_AT_ONCE``, so
+    that neither driver nor task holds them all, searches its block of rows exactly and
+    passes on k rows a query. Exact in float64 while sums stay below 2^53.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score long"
     d = main_dimension(vectors)
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if d is None:
@@ -138,31 +136,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(t), pa.list_(pa.float64()))], names=["vec_id", "v", "t"])
 
     table = materialize(rows.mapInArrow(tabulate, "vec_id long, v array<double>, t array<double>"), "topk-table")
-    wanted = materialize(queries.where(F.size("v") == d).withColumn("b", F.expr(f"0")).select("vec_id", "v"), "topk-queries")
-    n_blocks = max(1, -(-wanted.count() // QUERIES_AT_ONCE))
-    parts = []
-    for at in range(n_blocks):
-        mine = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == at)
-        got = mine.toPandas()
-        if not len(got):
-            continue
-        q_ids, q = got["vec_id"].to_numpy(np.int64), np.stack(got["v"].to_list())
-        lifted = np.hstack([q, np.zeros((len(q), 1))])
-        asked = spark.sparkContext.broadcast((q_ids, q, chosen.distances(lifted)))
-
-        def search(batches, asked=asked):
-            q_ids, q, q_table = asked.value
-            _, most = shared.value
-            for b in _whole(batches):
-                x, t = as_matrix(b.column(1), d), as_matrix(b.column(2), len(q_table[0]))
-                found = search_block(b.column(0).to_numpy(), x, t, q_ids, q, q_table, most, k)
+    asked = store(blocks_of(queries.where(F.size("v") == d).select("vec_id", "v"), QUERIES_AT_ONCE)[0], "topk-queries")
+
+    def search(batches):
+        points, most = shared.value
+        p = Pivots(points, most)
+        for b in _whole(batches):
+            x, t = as_matrix(b.column(1), d), as_matrix(b.column(2), len(points))
+            for wanted in stored(asked, QUERIES_AT_ONCE):
+                q = as_matrix(wanted.column(1), d)
+                q_table = p.distances(np.hstack([q, np.zeros((len(q), 1))]))
+                found = search_block(b.column(0).to_numpy(), x, t, wanted.column(0).to_numpy(), q, q_table, most, k)
                 cols = list(zip(*found, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-        parts.append(table.mapInArrow(search, schema))
-    if not parts:
-        return nothing
-    return ranked(parts, k, "score")
+    return ranked(table.mapInArrow(search, "query_id long, vec_id long, score long"), k, "score")
 
 
 def _whole(batches, most: int = 2 * BLOCK):
@@ -182,15 +170,10 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def ranked(parts: list[DataFrame], k: int, score: str) -> DataFrame:
+def ranked(found: DataFrame, k: int, score: str) -> DataFrame:
     """The k best of each query over the blocks' own bests."""
-    from pyspark.sql import Window
-
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "vec_id")
-    out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", score)
 
 
@@ -215,5 +198,3 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
-
-__all__ = ["T", "query", "top_k", "valid_vectors"]

@@ -492,3 +492,16 @@ def test_quality_scores_equal_a_plain_hierarchy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
     got = quality.classify(docs, quality.train(docs, labels), keep=["doc_id", "source", "lang"]).collect()
     assert np.allclose([r["quality_score"] for r in got], plain_scores([(r["evidence"], r["source"], r["lang"]) for r in got]), atol=1e-9)
+
+
+def test_queries_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(topk_pivot, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(additive_ann, "QUERIES_AT_ONCE", 7)
+    x = np.random.default_rng(5).integers(-9, 9, (300, 6)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    for search in (topk_pivot.top_k, additive_ann.nearest):
+        got = collections.defaultdict(list)
+        for r in search(df, df.where("vec_id % 10 = 0"), 4).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        assert len(got) == 30
+        assert all(found == [int(i) for i in np.lexsort((np.arange(300), -(x @ x[q]))) if i != q][:4] for q, found in got.items())
