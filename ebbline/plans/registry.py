@@ -27,6 +27,7 @@ from ebbline.functions import (
 from ebbline.model import EVENT_TYPES, TRACKED_USER_COLUMNS
 from ebbline.plans.staging import dim_users_model, stage_events_model, stage_users_model
 from ebbline.quality import Check, DataQualityRunner, Expectation, generic, run_suite
+from ebbline.quality.shipped import EVENTS_SUITE, event_checks
 from ebbline.streaming import dead_letters, parse_envelope, session_metrics, valid_events, windowed_metrics
 from ebbline.tables import SnapshotTable, checksum, merge_counts, merge_frame, scd2_frame, upsert
 from ebbline.tables.maintenance import retained
@@ -784,6 +785,86 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, total long, unexpected long, success boolean")
 
 
+def flawed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with repeated and malformed ids, missing users, negative revenue."""
+    i = F.col("event_id")
+    return events_model(spark, sf_dir).withColumns(
+        {
+            "user_id": F.when(i % 4 != 0, F.col("user_id")),
+            "revenue": F.when(i % 50 == 0, F.lit(-1).cast("decimal(18,4)")).otherwise(F.col("revenue")),
+            "event_id": F.when(i % 9 == 0, F.concat(F.lit("no!"), (i % 2).cast("string"))).otherwise(F.concat(F.lit("event-00"), i.cast("string"))),
+        }
+    )
+
+
+FLAWED = f"""{EV}, flawed AS (
+  SELECT * REPLACE (CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 50 = 0 THEN CAST(-1 AS DECIMAL(18,4)) ELSE revenue END AS revenue,
+                    CASE WHEN event_id % 9 = 0 THEN 'no!' || (event_id % 2) ELSE 'event-00' || event_id END AS event_id) FROM ev)"""
+
+
+def _flawed_row(name: str, total: str, bad: str, ok: str) -> str:
+    return f"SELECT '{name}' AS name, {total} AS total, CAST({bad} AS BIGINT) AS unexpected, {ok} AS success FROM flawed"
+
+
+def _mostly(name: str, bad: str, share: float, total: str = "count(*)") -> str:
+    return _flawed_row(name, total, f"count(*) FILTER ({bad})", f"1 - count(*) FILTER ({bad}) / {total} >= {share}")
+
+
+_DEVICES = "'mobile', 'tablet', 'desktop', 'smart_tv', 'bot', 'other', 'unknown'"
+_REPEATED = "(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM flawed GROUP BY event_id HAVING count(*) > 1))"
+
+
+@query(
+    "events_suite",
+    f"WITH {FLAWED} "
+    + " UNION ALL ".join(
+        [
+            *[_flawed_row(f"column_exists({c})", "count(*)", "0", "true") for c in ("event_id", "event_type", "user_id", "event_timestamp", "revenue", "duration_ms")],
+            *[_mostly(f"not_null({c})", f"{c} IS NULL", 1) for c in ("event_id", "event_type", "event_timestamp", "ingestion_date")],
+            _flawed_row("unique(event_id)", "count(event_id)", _REPEATED, f"{_REPEATED} = 0"),
+            _mostly("between(revenue)", "revenue NOT BETWEEN 0 AND 1000000", 0.99, "count(revenue)"),
+            _mostly("between(duration_ms)", "duration_ms NOT BETWEEN 0 AND 86400000", 0.99, "count(duration_ms)"),
+            _mostly("in_set(event_type)", f"event_type NOT IN ({_IN})", 1, "count(event_type)"),
+            _mostly("in_set(device_type)", f"device_type NOT IN ({_DEVICES})", 0.95, "count(device_type)"),
+            _flawed_row("row_count()", "count(*)", "0", "count(*) BETWEEN 100 AND 100000000"),
+            _mostly("pair_ge(event_timestamp)", "event_timestamp < ingested_at", 0),
+            _mostly("pair_ge(ingested_at)", "ingested_at < event_timestamp", 0.95),
+            _mostly("not_null(user_id)", "user_id IS NULL", 0.8),
+            _mostly("regex(event_id)", "NOT regexp_matches(event_id, '^[a-zA-Z0-9_-]{8,64}$')", 1, "count(event_id)"),
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    rows = [(r["name"], r["total"], r["unexpected"], r["success"]) for r in run_suite(flawed_events(spark, sf_dir), EVENTS_SUITE)]
+    return spark.createDataFrame(rows, "name string, total long, unexpected long, success boolean")
+
+
+def _zero(name: str, severity: str, count: str) -> str:
+    return f"SELECT '{name}' AS check_name, '{severity}' AS severity, ({count}) AS n"
+
+
+@query(
+    "event_sql_checks",
+    f"WITH {FLAWED}, counts AS ("
+    + " UNION ALL ".join(
+        [
+            _zero("event_id_not_null", "critical", "SELECT count(*) - count(event_id) FROM flawed"),
+            _zero("event_id_unique", "critical", "SELECT count(*) FROM (SELECT 1 FROM flawed GROUP BY event_id HAVING count(*) > 1)"),
+            _zero("revenue_non_negative", "critical", "SELECT count(*) FILTER (revenue < 0) FROM flawed"),
+            _zero("valid_event_types", "warning", f"SELECT count(*) FILTER (event_type NOT IN ({_IN})) FROM flawed"),
+            _zero("timestamp_not_future", "warning", f"SELECT count(*) FILTER (event_timestamp > TIMESTAMP '{AS_OF}') FROM flawed"),
+        ]
+    )
+    + ") SELECT check_name, severity, n = 0 AS ok, CAST(n AS DOUBLE) AS metric_value FROM counts",
+)
+def _(spark, sf_dir):
+    runner = DataQualityRunner(spark)
+    for check in event_checks(f"timestamp '{AS_OF}'"):
+        runner.add_check(check)
+    rows = [(r.name, r.severity.value, r.passed, r.metric_value) for r in runner.run(flawed_events(spark, sf_dir)).results]
+    return spark.createDataFrame(rows, "check_name string, severity string, ok boolean, metric_value double")
+
+
 @query("dup_key_groups", f"WITH {RAW} SELECT event_id, count(*) AS n FROM raw GROUP BY 1 HAVING count(*) > 1")
 def _(spark, sf_dir):
     return generic.duplicate_groups(raw_events(spark, sf_dir), ["event_id"])

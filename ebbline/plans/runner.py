@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -18,6 +19,7 @@ class Task:
     rule: str = "all_success"
     retries: int = 2
     backoff_s: float = 1.0
+    timeout_s: float | None = None
     branch: bool = False  # its result names the tasks that go on
 
 
@@ -41,6 +43,9 @@ class Pipeline:
     sla_s: float | None = None
     on_sla_miss: Callable[[str, float], None] | None = None
     sleep: Callable[[float], None] = time.sleep
+    begin: Callable[[str], Any] | None = None  # called in the thread of a task with a time-out
+    cancel: Callable[[str], Any] | None = None  # ends the work of a task that timed out
+    grace_s: float = 60.0
 
     def add(self, *args, **kwargs) -> Pipeline:
         self.tasks.append(Task(*args, **kwargs))
@@ -89,12 +94,38 @@ class Pipeline:
         return results
 
     def _attempt(self, task: Task, values: dict[str, Any]) -> Outcome:
-        began = time.monotonic()
+        began, error = time.monotonic(), ""
         for attempt in range(1, task.retries + 2):
+            value, failure, ended = self._call(task, values)
+            if failure is None:
+                return Outcome("success", value, "", attempt, time.monotonic() - began)
+            error = f"{type(failure).__name__}: {failure}"
+            if not ended or attempt > task.retries:  # two attempts never run at once
+                break
+            self.sleep(task.backoff_s * 2 ** (attempt - 1))
+        return Outcome("failed", None, error, attempt, time.monotonic() - began)
+
+    def _call(self, task: Task, values: dict[str, Any]) -> tuple[Any, Exception | None, bool]:
+        """The task's value or failure, and whether its work has ended."""
+        box: dict[str, Any] = {}
+
+        def work():
             try:
-                return Outcome("success", task.run(values), "", attempt, time.monotonic() - began)
+                if self.begin and task.timeout_s is not None:
+                    self.begin(task.name)
+                box["value"] = task.run(values)
             except Exception as e:  # noqa: BLE001
-                error = f"{type(e).__name__}: {e}"
-                if attempt <= task.retries:
-                    self.sleep(task.backoff_s * 2 ** (attempt - 1))
-        return Outcome("failed", None, error, task.retries + 1, time.monotonic() - began)
+                box["failure"] = e
+
+        if task.timeout_s is None:
+            work()
+            return box.get("value"), box.get("failure"), True
+        thread = threading.Thread(target=work, name=task.name, daemon=True)
+        thread.start()
+        thread.join(task.timeout_s)
+        if not thread.is_alive():
+            return box.get("value"), box.get("failure"), True
+        if self.cancel:
+            self.cancel(task.name)
+            thread.join(self.grace_s)
+        return None, TimeoutError(f"{task.name} took over {task.timeout_s} s"), not thread.is_alive()

@@ -26,7 +26,7 @@ def write_staging(df: DataFrame, path: str, partition_by: Sequence[str] = ("inge
     """Append by partition; the number of rows written. An empty frame writes nothing."""
     if df.isEmpty():
         return 0
-    return _counted(df, lambda x: x.repartition(*partition_by).write.mode(mode).partitionBy(*partition_by).format(fmt).option("compression", "snappy").save(path))
+    return _counted(df, lambda x: x.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).format(fmt).option("compression", "snappy").save(path))
 
 
 def file_count(rows: int, target: int = 200, row_bytes: int = 1024, file_bytes: int = 128 << 20) -> int:
@@ -53,9 +53,9 @@ def write_optimized(df: DataFrame, path: str, partition_by: Sequence[str], rows_
     )
 
 
-def write_features(df: DataFrame, path: str, execution_date: str, files: int = 10) -> int:
+def write_features(df: DataFrame, path: str, execution_date: str) -> int:
     out = df.withColumn("execution_date", F.lit(execution_date))
-    return _counted(out, lambda x: x.coalesce(files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("execution_date").parquet(path))
+    return _counted(out, lambda x: x.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("execution_date").parquet(path))
 
 
 def write_json(df: DataFrame, path: str) -> None:
