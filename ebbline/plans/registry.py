@@ -28,7 +28,7 @@ from ebbline.model import EVENT_TYPES, TRACKED_USER_COLUMNS
 from ebbline.plans.staging import dim_users_model, stage_events_model, stage_users_model
 from ebbline.quality import Check, DataQualityRunner, Expectation, generic, run_suite
 from ebbline.quality.shipped import EVENTS_SUITE, event_checks
-from ebbline.streaming import dead_letters, parse_envelope, session_metrics, valid_events, windowed_metrics
+from ebbline.streaming import dead_letters, parse_envelope, session_metrics, start_sink, state_on_disk, valid_events, windowed_metrics
 from ebbline.tables import SnapshotTable, checksum, merge_counts, merge_frame, scd2_frame, upsert
 from ebbline.tables.maintenance import retained
 
@@ -273,13 +273,21 @@ def _stream(spark, sf_dir) -> DataFrame:
 
 
 def _drained(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """All that a stream has to say now; its result is small (windows, not events)."""
+    """All that a stream has to say now; what it appends goes to files, as it may be as much as its events.
+
+    Only a complete result, which is small (windows, not events), stays in the driver.
+    """
     import uuid
 
-    table = f"{name}_{uuid.uuid4().hex}"
-    query_ = df.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    if mode == "append":
+        root = _stored(spark, name)
+        start_sink(df, f"{root}/rows", f"{root}/checkpoint", trigger="availableNow").awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{root}/rows")
+    with state_on_disk(spark):
+        query_ = df.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
     query_.awaitTermination()
-    return df.sparkSession.table(table)
+    return spark.table(table)
 
 
 @query("stream_tumbling_5m", f"WITH {EV} SELECT event_type, time_bucket(INTERVAL 5 MINUTE, event_timestamp, TIMESTAMP '1970-01-01') AS window_start, count(event_id) AS event_count, CAST(sum(revenue) AS DECIMAL(28,4)) AS total_revenue, count(*) FILTER (is_conversion) AS conversion_count FROM ev GROUP BY 1, 2")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +12,26 @@ from pyspark.sql.streaming import StreamingQuery
 from ebbline.tables.merge import upsert
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started here keep their state on the executors' disks, unless the session names a store.
+
+    Spark's own default holds every open window and session as objects on the heap. A query
+    that goes on from a checkpoint keeps the store that it began with.
+    """
+    own = spark.conf.get(STATE_STORE, None)
+    if own is None:
+        spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(STATE_STORE)
+
+
 def _trigger(writer, trigger: str, interval: str):
     if trigger == "processingTime":
         return writer.trigger(processingTime=interval)
@@ -24,7 +45,8 @@ def start_sink(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
     writer = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint).option("path", path)
     writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer = writer.queryName(name) if name else writer
-    return _trigger(writer, trigger, interval).start()
+    with state_on_disk(df.sparkSession):
+        return _trigger(writer, trigger, interval).start()
 
 
 def upsert_sink(df: DataFrame, path: str, keys: Sequence[str], checkpoint: str, trigger: str = "processingTime", interval: str = "30 seconds", name: str | None = None) -> StreamingQuery:
@@ -36,7 +58,8 @@ def upsert_sink(df: DataFrame, path: str, keys: Sequence[str], checkpoint: str,
 
     writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.queryName(name) if name else writer
-    return _trigger(writer, trigger, interval).start()
+    with state_on_disk(df.sparkSession):
+        return _trigger(writer, trigger, interval).start()
 
 
 class Supervisor:

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ebbline.plans import registry
 from ebbline.streaming import Supervisor, dead_letters, file_envelopes, parse_envelope, running_sessions, session_metrics, start_sink, upsert_sink, valid_events, windowed_metrics
 from ebbline.streaming.sources import kafka_options
 from ebbline.tables import SnapshotTable
@@ -96,3 +97,17 @@ def test_upsert_sink_and_supervisor(spark, lines, tmp_path):
     assert states == {"ok": "done", "bad": "failed"} and sup.restarts["bad"] == 1
     assert SnapshotTable(spark, table).read().agg(F.sum("event_count")).first()[0] == 2
     assert kafka_options("h:1", "events")["maxOffsetsPerTrigger"] == "100000"
+
+
+def test_appended_results_and_state_stay_out_of_the_memory(spark, tmp_path):
+    rows = [(i, f"u{i % 50}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), 1.0, "Mobile", "US") for i in range(500)]
+    spark.createDataFrame(rows, "event_id long, user_id string, event_timestamp timestamp, revenue double, device_type string, country string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    query = start_sink(session_metrics(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint"), trigger="availableNow")
+    assert query.awaitTermination(120)
+    used = {k for p in query.recentProgress for s in p["stateOperators"] for k in s["customMetrics"]}
+    assert any(k.startswith("rocksdb") for k in used)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
+    assert 0 < spark.read.parquet(str(tmp_path / "out")).count() <= 500
+    drained = registry._drained(session_metrics(stream), "append", "sessions")
+    assert drained.inputFiles() and drained.count() == spark.read.parquet(str(tmp_path / "out")).count()
