@@ -5,15 +5,25 @@ from __future__ import annotations
 import ctypes
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_SCRATCH = "/tmp/checkpoints/ebbline"
 BATCH_ROWS = 1_000
+#: Ids of up to so many rows are broadcast (8 bytes each, counted first).
+BROADCAST_IDS = 1_000_000
+#: Beyond, as bitmaps of so many ids each, while all bitmaps together are under so many bytes.
+BITMAP_IDS, BITMAP_BYTES = 1 << 15, 1 << 25
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +50,79 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def store(df: DataFrame, tag: str) -> str:
-    """Write ``df`` as Parquet in the shared folder, for tasks to read with ``stored``."""
+    """Write ``df`` as Parquet in the shared folder, for tasks to read with ``stored``.
+
+    Its shuffle files go once it is written; else they stay until the driver happens to
+    collect its garbage, which a long job on much data may never need to.
+    """
     path = f"{shared_dir(df.sparkSession)}/ebbline-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    own = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if own is None else conf.set(_CLEANUP, own)
+    made(path)
     return path
 
 
+def made(path: str) -> None:
+    """Tells ``recorded`` of a table or folder."""
+    if (found := _MADE.get()) is not None:
+        found.append(path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are stored in this block; a block around it gets them too."""
+    found: list[str] = []
+    token = _MADE.set(found)
+    try:
+        yield found
+    finally:
+        _MADE.reset(token)
+        for path in found:
+            made(path)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes stored tables that nothing will read again."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def by_ids(docs: DataFrame, column: str, ids: DataFrame, listed: bool) -> DataFrame:
+    """Rows of ``docs`` whose ``column`` is (``listed``) or isn't among the first column of ``ids``.
+
+    ``ids`` is a stored table. Rows of ``docs``, which hold texts, don't move: few ids are
+    broadcast as they are, many as bitmaps of their ranges. Only many ids that are strewn
+    so widely that bitmaps don't pay, or that aren't integers, are joined by a shuffle.
+    """
+    how, x = "left_semi" if listed else "left_anti", fresh(docs)
+    ids = ids.select(F.col(ids.columns[0]).alias(f"{x}id"))
+    n = ids.count()
+    on = F.col(f"`{column}`") == F.col(f"{x}id")
+    if n <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), on, how)
+    if not {ids.dtypes[0][1], docs.select(f"`{column}`").dtypes[0][1]} <= {"tinyint", "smallint", "int", "bigint"}:
+        return docs.join(ids, on, how)
+    part = lambda c: F.shiftright(c.cast("long"), BITMAP_IDS.bit_length() - 1)
+    place = lambda c: c.cast("long").bitwiseAND(BITMAP_IDS - 1)
+    one = F.col(f"{x}id")
+    if ids.select(part(one).alias("p")).distinct().count() * BITMAP_IDS // 8 > BITMAP_BYTES:
+        return docs.join(ids, on, how)
+    maps = ids.where(one.isNotNull()).groupBy(part(one).alias(f"{x}p")).agg(F.bitmap_construct_agg(place(one)).alias(f"{x}m"))
+    maps = F.broadcast(materialize(maps, "ids"))
+    own = F.col(f"`{column}`")
+    byte = F.conv(F.hex(F.substring(F.col(f"{x}m"), (F.shiftright(place(own), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr(f"shiftright({x}b, cast({x}k as int)) & 1 = 1")
+    out = docs.join(maps, part(own) == F.col(f"{x}p"), "left").withColumn(f"{x}b", byte).withColumn(f"{x}k", place(own).bitwiseAND(7))
+    held = F.coalesce(bit, F.lit(False))
+    return out.where(held if listed else ~held).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def stored(folder: str, rows: int):
     """The rows of a stored table in record batches of at most ``rows``, in one order for all tasks."""
     system, path = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder.removeprefix("file:"))

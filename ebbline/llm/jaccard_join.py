@@ -32,12 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import map_arrow, materialize, slices, worker_keeps
+from ebbline.llm.common import BROADCAST_IDS, by_ids, drop, map_arrow, materialize, recorded, slices, worker_keeps
 from ebbline.llm.components import connected_components
 
 BITMAP_WORDS = 8
-#: Ids of up to so many rows are broadcast (8 bytes each, counted first); beyond, joined by shuffle.
-BROADCAST_IDS = 1_000_000
 #: Rounds against representatives before what is left is compared pair by pair.
 REPRESENTATIVE_ROUNDS = 4
 #: Largest size for which subsets are considered.
@@ -303,11 +301,9 @@ class JaccardJoin:
         self.classes = materialize(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *marks), "join-classes")
         self.links = None
 
-    def _some_docs(self, ids: DataFrame, how: str) -> DataFrame:
-        """Documents whose id is (not) in ``ids`` (column id), without moving the texts if the ids are few."""
-        ids = materialize(ids, "join-ids")
-        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return self.docs.join(side, self.docs["doc_id"] == side["id"], how)
+    def _some_docs(self, ids: DataFrame, listed: bool) -> DataFrame:
+        """Documents whose id is (not) in ``ids`` (column id), without moving the texts."""
+        return by_ids(self.docs, "doc_id", materialize(ids, "join-ids"), listed)
 
     def lists(self) -> DataFrame:
         """(term, lead, doc): the members of lists of two and more, next to the first one."""
@@ -316,7 +312,7 @@ class JaccardJoin:
         plan.choose(sizes)
         rep = self.meta.where("n > 0").join(self.classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"])
         copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("id")).distinct()
-        alone = self._some_docs(copies, "left_anti").where("doc_id is not null")
+        alone = self._some_docs(copies, False).where("doc_id is not null")
         terms = map_arrow(alone, _terms(self.words, self.num, self.den, plan.light), "term long, doc long")
         ranged = terms.repartition("term").sortWithinPartitions("term", "doc")
         return materialize(map_arrow(ranged, _scan, "term long, lead long, doc long"), "join-lists")
@@ -365,11 +361,21 @@ class JaccardJoin:
 
     def solve(self) -> DataFrame:
         """Edges between classes that hold their links together: (a, b)."""
-        lists = self._different(self.lists())
+        with recorded() as passing:
+            edges = self._edges()
+        self.links = materialize(edges, "join-edges")
+        drop(self.spark, passing)
+        return self.links
+
+    def _edges(self) -> DataFrame:
+        with recorded() as whole:
+            found = self.lists()
+        lists = self._different(found)
+        drop(self.spark, whole)
         leads = lists.select("term", F.col("lead").alias("doc")).distinct()
         members = lists.select("term", "doc").union(leads)
         ids = lists.select(F.col("doc").alias("id")).union(lists.select("lead")).distinct()
-        sets = materialize(map_arrow(self._some_docs(ids, "left_semi"), _sets(self.words), "id long, s binary"), "join-sets")
+        sets = materialize(map_arrow(self._some_docs(ids, True), _sets(self.words), "id long, s binary"), "join-sets")
         # 1: each member against the least first member that may be linked with it
         first = self._filtered(lists.select(F.col("lead").alias("a"), F.col("doc").alias("b"))).groupBy("b").agg(F.min("a").alias("a"))
         seen = materialize(first.select("a", "b"), "join-pairs")
@@ -400,7 +406,6 @@ class JaccardJoin:
             linked = new is not None and not new.isEmpty()
             mixed = None if linked else mixed
             last = not linked or rounds >= REPRESENTATIVE_ROUNDS
-        self.links = edges
         return edges
 
     def result(self) -> DataFrame:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import ChunkTable, fresh, map_arrow, materialize, shared_dir, slices, word_blocks, worker_keeps
+from ebbline.llm.common import ChunkTable, fresh, made, map_arrow, materialize, shared_dir, slices, word_blocks, worker_keeps
 
 ORDER = 5
 #: About the rows that one task sorts, and the values that it interpolates at once.
@@ -431,6 +431,7 @@ def fit_stored(grams: DataFrame, langs: list[str], order: int = ORDER) -> Kneser
         raise ValueError("the model's arrays are mapped, so the shared folder must be one of the file system")
     folder = f"{root}/ebbline-lid-model-{uuid.uuid4().hex}"
     os.makedirs(folder)
+    made(folder)
     number = F.create_map(*[F.lit(x) for j, lang in enumerate(langs) for x in (lang, j)])
     ends = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.struct(F.substr("gram", i).alias("s"), F.when(i == 1, F.col("n")).otherwise(0).alias("c")))
     keys = grams.select(number[F.col("lang")].alias("j"), F.explode(ends).alias("e")).groupBy("j", "e.s").agg(F.sum("e.c").alias("c"))
