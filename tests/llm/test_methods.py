@@ -505,3 +505,25 @@ def test_queries_beyond_one_block(spark, monkeypatch):
             got[r["query_id"]].append(r["vec_id"])
         assert len(got) == 30
         assert all(found == [int(i) for i in np.lexsort((np.arange(300), -(x @ x[q]))) if i != q][:4] for q, found in got.items())
+
+
+def test_language_thresholds_come_from_all_documents(spark):
+    rnd = random.Random(4)
+    words = {"en": "abcdefgh", "xx": "efghijkl"}
+    # over 400 documents a language, a tenth of them in the other one's letters; some twice, one without letters
+    rows = [(i, " ".join("".join(rnd.choice(words["xx" if (lang == "en") != (i % 10 > 0) else "en"]) for _ in range(rnd.randint(2, 6))) for _ in range(12)), lang) for i in range(700) for lang in ("en", "xx")]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(9000 + i, *r[1:]) for i, r in enumerate(rows[:50])] + [(9999, "12", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(docs)
+    texts = sorted({(t, lang) for _, t, lang in rows})
+    sums = model.table().sums([t for t, _ in texts])
+    entropy = {x: np.array([-s[model.langs.index(x)] / s[-1] for s, (_, lang) in zip(sums, texts, strict=True) if lang == x and s[-1]]) for x in words}
+    assert all(len(e) == 700 for e in entropy.values())
+    for x, e in entropy.items():
+        assert abs(model.thresholds["entropy"][x] - max(np.quantile(e, 0.99) + 3 * e.std(), 1.5 * np.median(e))) < 1e-6
+    want = model.judge(model.table().sums([t for _, t, _ in rows]))
+    got = {r["doc_id"]: r for r in language_id.learn_and_identify(docs, F.lit(True), ["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    for (i, _, _), best, score, low, rejected in zip(rows, *want, strict=True):
+        assert got[i]["lang_pred"] == (model.langs[best] if best >= 0 else "und") and got[i]["rejected"] == rejected
+        assert abs(got[i]["score"] - score) < 1e-4 and abs(got[i]["cross_entropy"] - low) < 1e-4
