@@ -17,11 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ebbline.llm.common import ChunkTable, fresh, map_arrow, materialize, slices, word_blocks, worker_keeps
-
-#: Labelled rows that the classifier is fitted on, by hash of the id.
-MAX_LABELLED = 20_000
+from ebbline.llm.common import ChunkTable, by_ids, fresh, map_arrow, materialize, slices, word_blocks, worker_keeps
 
 _CHUNK = ("chars", "letters", "upper", "digits", "symbols", "shouted", "noisy_end", "single_symbol", "short", "long", "chunks")
 FEATURES = ("upper_share", "digit_share", "symbol_share", "shouted_share", "noisy_share", "lone_symbol_share", "short_share", "long_share", "mean_length", "log_chunks", "distinct_share", "top_share", "line_repeats", "bare_line_ends")
@@ -87,17 +85,41 @@ class Logistic:
         return np.concatenate([x, x**2], axis=1)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-        x = cls._spread(x)
-        centre, scale = x.mean(axis=0), x.std(axis=0)
+    def fit(cls, rows: DataFrame, ridge: float = 1.0) -> Logistic | None:
+        """From all ``rows`` (y, x: ``FEATURES``), a stored table; None without both kinds of y.
+
+        Tasks sum over their rows; a pass brings the driver one row of sums a task.
+        """
+        k = 2 * len(FEATURES)
+
+        def summed(of, width: int) -> np.ndarray:
+            def run(batches):
+                total = np.zeros(width)
+                for b in batches:
+                    if b.num_rows:
+                        total += of(b.column(0).to_numpy(zero_copy_only=False).astype(float), cls._spread(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)))
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+            return sum((np.array(r["s"]) for r in map_arrow(rows.select("y", "x"), run, "s array<double>").collect()), np.zeros(width))
+
+        first = summed(lambda y, x: np.concatenate(([len(y), y.sum()], x.sum(axis=0))), 2 + k)
+        if not 0 < first[1] < first[0]:
+            return None
+        centre = first[2:] / first[0]
+        scale = np.sqrt(summed(lambda y, x: ((x - centre) ** 2).sum(axis=0), k) / first[0])
         scale = np.where(scale > 1e-9, scale, 1.0)
-        z = np.hstack([np.ones((len(x), 1)), np.clip((x - centre) / scale, -8, 8)])
-        w = np.zeros(z.shape[1])
+        w = np.zeros(1 + k)
         penalty = np.full(len(w), ridge)
         penalty[0] = 1e-6
-        for _ in range(50):
+
+        def curved(y, x):
+            z = np.hstack([np.ones((len(x), 1)), np.clip((x - centre) / scale, -8, 8)])
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty) + 1e-9 * np.eye(len(w)), z.T @ (y - p) - penalty * w)
+            return np.concatenate((((z * (p * (1 - p))[:, None]).T @ z).ravel(), z.T @ (y - p)))
+
+        for _ in range(50):
+            s = summed(curved, len(w) ** 2 + len(w))
+            step = np.linalg.solve(s[: -len(w)].reshape(len(w), -1) + np.diag(penalty) + 1e-9 * np.eye(len(w)), s[-len(w) :] - penalty * w)
             w = w + step
             if np.abs(step).max() < 1e-6:
                 break
@@ -115,29 +137,25 @@ class Logistic:
         return cls(*(np.array(x) for x in json.loads(text)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Logistic | None:
-    """A classifier from at most ``max_labelled`` labelled rows (by hash of the id).
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Logistic | None:
+    """A classifier from all labelled rows; None without both kinds of label.
 
-    None without both kinds of label. A document with several labels counts with its worst.
+    A document with several labels counts with its worst. Texts don't move: those of
+    labelled ids are found in place, and their features are joined with the labels.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("y"))
-    known = known.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(max_labelled).select("__id", "y")
-    # bounded by max_labelled rows of 12 bytes
-    pairs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "__id")
+    known = materialize(known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("y")), "quality-labels")
+    some = by_ids(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t")), "__id", known, True)
 
     def run(batches):
         table = feature_table()
         for batch in batches:
-            for b in slices(batch):
-                x = document_features(b.column(0).to_pylist(), table)
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
-
-    rows = map_arrow(pairs.select("t", "y"), run, "y int, x array<double>").toPandas()
-    y = rows["y"].to_numpy(float)
-    if len(y) == 0 or y.min() == y.max():
-        return None
-    return Logistic.fit(np.stack(rows["x"].to_list()), y)
+            for b in slices(batch, 500):
+                x = document_features(b.column(1).to_pylist(), table)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["__id", "x"])
+
+    found = map_arrow(some, run, some.drop("t").schema.add("x", T.ArrayType(T.DoubleType())))
+    return Logistic.fit(materialize(found.join(known, "__id").select("y", "x"), "quality-labelled"))
 
 
 def with_evidence(docs: DataFrame, model: Logistic | None, text_col: str = "text", keep: list[str] | None = None, name: str = "evidence") -> DataFrame:

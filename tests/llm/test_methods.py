@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ebbline.llm import additive_ann, hilbert_shards, html_extract, language_id, quality, registry, topk_pivot, url_filter
+from ebbline.llm import additive_ann, common, hilbert_shards, html_extract, language_id, quality, registry, topk_pivot, url_filter
 from ebbline.llm.bpe import ChunkCache, PrefixBPE, encode_text
 from ebbline.llm.components import connected_components
 from ebbline.llm.jaccard_join import JaccardJoin, SizePlan, bitmap, jaccard_components
@@ -527,3 +527,18 @@ def test_language_thresholds_come_from_all_documents(spark):
     for (i, _, _), best, score, low, rejected in zip(rows, *want, strict=True):
         assert got[i]["lang_pred"] == (model.langs[best] if best >= 0 else "und") and got[i]["rejected"] == rejected
         assert abs(got[i]["score"] - score) < 1e-4 and abs(got[i]["cross_entropy"] - low) < 1e-4
+
+
+def test_quality_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_IDS", 100)
+    rnd = random.Random(6)
+    rows = [(i, ("!! ## 77 " if i % 3 == 0 else "plain words here ") * rnd.randint(1, 9) + ("x" * (i % 7))) for i in range(21_000)]
+    label = {i: int(i % 3 > 0 if rnd.random() < 0.8 else i % 2) for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame(sorted(label.items()), "doc_id long, quality int"))
+    x = quality.Logistic._spread(quality.document_features([t for _, t in rows], quality.feature_table()))
+    assert np.allclose(model.centre, x.mean(axis=0), rtol=1e-9, atol=1e-12)
+    z = np.hstack([np.ones((len(x), 1)), np.clip((x - model.centre) / model.scale, -8, 8)])
+    y = np.array([label[i] for i, _ in rows])
+    slope = z.T @ (y - 1 / (1 + np.exp(-z @ model.weights))) - np.r_[0, model.weights[1:]]
+    assert np.abs(slope).max() < 1e-2
